@@ -37,12 +37,13 @@ def observed_timepoints(cells: DataFrame, declared: Sequence[int] | None = None)
     return [row.t for row in found.orderBy("t").collect()]
 
 
-def min_sample_cells(cells: DataFrame, min_cells: int) -> DataFrame:
+def min_sample_cells(cells: DataFrame, min_cells: int, weight: str | None = None) -> DataFrame:
     """Keep cells of samples (patient and timepoint) with at least ``min_cells`` cells."""
     require(cells, PATIENT, TIMEPOINT)
     if min_cells <= 1:
         return cells
-    large = cells.groupBy(PATIENT, TIMEPOINT).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_cells)
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    large = cells.groupBy(PATIENT, TIMEPOINT).agg(n.alias("_n")).filter(F.col("_n") >= min_cells)
     return lookup_join(cells, large.select(PATIENT, TIMEPOINT), [PATIENT, TIMEPOINT], "left_semi")
 
 
@@ -71,7 +72,7 @@ def cell_profile(cells: DataFrame) -> DataFrame:
     that the cells are scanned and shuffled once.
     """
     require(cells, PATIENT, TREATMENT, CLONE, TIMEPOINT, CELL_TYPE, MKI67)
-    keys = [PATIENT, TREATMENT, *present(cells, [RESPONSE]), CLONE, TIMEPOINT, CELL_TYPE]
+    keys = [PATIENT, TREATMENT, *present(cells, [RESPONSE, TRB_AA]), CLONE, TIMEPOINT, CELL_TYPE]
     return cells.filter(F.col(CLONE).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col(MKI67) > 0).alias("n_cycling")
     )
@@ -110,14 +111,16 @@ def clone_vectors(
 
     A slot is 0 where the sample has cells but none of this clone, and null where the
     patient has no cell at all at that timepoint. Clones are written out once; the
-    sample totals come from them and are joined as a size-checked lookup table.
+    sample totals come from them and are joined as a size-checked lookup table. Raises
+    if a clone has cells under two treatments.
     """
     width = len(timepoints)
     counted = materialize(wide_counts(cells, timepoints, carry, weight))
-    totals = counted.groupBy(PATIENT, TREATMENT).agg(
-        *[F.sum(f"_n{i}").alias(f"_total{i}") for i in range(width)]
+    totals = materialize(
+        counted.groupBy(PATIENT, TREATMENT).agg(*[F.sum(f"_n{i}").alias(f"_total{i}") for i in range(width)])
     )
-    joined = lookup_join(counted, totals, [PATIENT, TREATMENT], "inner")
+    check_one_vector_per_clone(counted, totals)
+    joined = lookup_join(counted, totals, [PATIENT, TREATMENT], "inner", written=True)
     sampled = [F.col(f"_total{i}") > 0 for i in range(width)]
     n = [F.when(s, F.col(f"_n{i}")) for i, s in enumerate(sampled)]
     size = [F.when(s, F.col(f"_total{i}")) for i, s in enumerate(sampled)]
@@ -137,12 +140,16 @@ def clone_vectors(
     )
 
 
-def check_one_vector_per_clone(vectors: DataFrame) -> None:
-    """Raise if a clone has cells under two treatments; its changes would be ill-defined."""
-    mixed = vectors.groupBy(PATIENT).agg(F.countDistinct(TREATMENT).alias("_t")).filter(F.col("_t") > 1)
-    if mixed.limit(1).count() == 0:
+def check_one_vector_per_clone(counted: DataFrame, totals: DataFrame) -> None:
+    """Raise if a clone has cells under two treatments; its changes would be ill-defined.
+
+    Only a patient with two treatments, which the small table of totals tells, can have
+    such a clone.
+    """
+    rows = totals.agg(F.count(F.lit(1)).alias("all"), F.countDistinct(PATIENT).alias("patients")).first()
+    if rows["all"] == rows["patients"]:
         return
-    twice = vectors.groupBy(CLONE).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+    twice = counted.groupBy(CLONE).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
     example = twice.select(CLONE).first()
     if example is not None:
         raise ValueError(f"clone {example[0]} has cells under more than one treatment")

@@ -7,23 +7,18 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.names import is_listed, trajectory_number
 from trajspark.operators.abundance import clone_stats
 from trajspark.operators.joins import lookup_join
 from trajspark.operators.ordering import ordered_rank
-from trajspark.operators.qc import is_listed
 from trajspark.operators.selection import on_allowlist
-from trajspark.schema import CLONE, K, OTHER, PATIENT, RESPONSE, TIMEPOINT, TRAJ_PREFIX, TRB_AA, TREATMENT, present, require
+from trajspark.schema import CLONE, K, OTHER, PATIENT, RESPONSE, TIMEPOINT, TRB_AA, TREATMENT, present, require
 
 # The response groups and the week whose rows carry labels.
 RESPONSE_GROUPS = {"CR": "R", "PR": "R", "SD": "NR", "PD": "NR"}
 LABEL_WEEK = 3
 
 
-def trajectory_number(k: str = K) -> Column:
-    """The number in a trajectory name; null for ``Other``."""
-    return F.when(F.col(k).startswith(TRAJ_PREFIX), F.substring(k, len(TRAJ_PREFIX) + 1, 9).try_cast("int"))
-
-
 def labelled(df: DataFrame) -> DataFrame:
     require(df, K)
     return df.filter(F.col(K) != OTHER)

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.functions.names import trajectory_number
 from trajspark.functions.partition import medoids, nearest_centre, ward, weighted_centres
 from trajspark.functions.slots import label_of, largest, slots, smallest, squared_distance
 from trajspark.operators.joins import lookup_join
@@ -32,10 +33,14 @@ METHODS = ("hclust", "pam", "hcpc", "absolute")
 
 @dataclass(frozen=True)
 class Groups:
-    """Weighted points that stand for all clones, and how a clone finds its point."""
+    """Weighted points that stand for all clones, and how a clone finds its point.
+
+    ``firsts`` holds the first clone of every point.
+    """
 
     points: np.ndarray
     weights: np.ndarray
+    firsts: list[str]
     exact: bool
     key: Column
     keys: list
@@ -50,21 +55,28 @@ class Groups:
 
 def place(units: DataFrame, projection: Projection) -> DataFrame:
     """Clones with defined correlations and their ``v``."""
-    return materialize(defined(units).select(CLONE, F.array(*projection.columns()).alias("v")))
+    return defined(units).select(CLONE, F.array(*projection.columns()).alias("v"))
 
 
-def group_points(placed: DataFrame, width: int, max_points: int, real_points: bool = False) -> Groups:
-    """At most ``max_points`` weighted points for the rows of ``placed``.
+def group_points(
+    placed: DataFrame, clones: int, width: int, max_points: int, real_points: bool = False
+) -> Groups:
+    """At most ``max_points`` weighted points for the ``clones`` rows of ``placed``.
 
     ``real_points`` makes each point the ``v`` of a clone instead of a mean.
     """
     v = slots("v", width)
-    distinct = materialize(placed.groupBy("v").agg(F.count(F.lit(1)).alias("w")))
-    if distinct.count() <= max_points:
-        rows = distinct.orderBy("v").collect()
+    distinct = placed.groupBy("v").agg(F.count(F.lit(1)).alias("w"), F.min(CLONE).alias("first"))
+    few = clones <= max_points
+    if not few:
+        distinct = materialize(distinct)
+        few = distinct.count() <= max_points
+    if few:
+        rows = sorted(distinct.collect(), key=lambda r: r.first)
         return Groups(
             np.array([r.v for r in rows], dtype=float).reshape(len(rows), width),
             np.array([r.w for r in rows], dtype=float),
+            [r.first for r in rows],
             True,
             F.col("v"),
             [r.v for r in rows],
@@ -86,6 +98,7 @@ def group_points(placed: DataFrame, width: int, max_points: int, real_points: bo
             F.sum("w").alias("w"),
             F.array(*[F.sum(c * F.col("w")) for c in v]).alias("s"),
             F.min("v").alias("member"),
+            F.min("first").alias("first"),
         )
     )
     halvings = 0
@@ -99,14 +112,15 @@ def group_points(placed: DataFrame, width: int, max_points: int, real_points: bo
                 F.sum("w").alias("w"),
                 F.array(*[F.sum(c) for c in slots("s", width)]).alias("s"),
                 F.min("member").alias("member"),
+                F.min("first").alias("first"),
             )
         )
-    rows = cells.orderBy("cell").collect()
+    rows = sorted(cells.collect(), key=lambda r: r.first)
     weights = np.array([r.w for r in rows], dtype=float)
     means = np.array([r.s for r in rows], dtype=float) / weights[:, None]
     points = np.array([r.member for r in rows], dtype=float) if real_points else means
     key = F.array(*[F.shiftright(c, halvings) for c in fine])
-    return Groups(points, weights, False, key, [r.cell for r in rows])
+    return Groups(points, weights, [r.first for r in rows], False, key, [r.cell for r in rows])
 
 
 def assign_nearest(placed: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -117,11 +131,18 @@ def assign_nearest(placed: DataFrame, centres: np.ndarray) -> DataFrame:
     return packed.select(CLONE, "v", choice.alias("cluster"))
 
 
+def number_points(groups: Groups, cluster: np.ndarray) -> dict[int, int]:
+    """Number the clusters of the points 1, 2, ... by their first clone."""
+    firsts: dict[int, str] = {}
+    for c, clone in zip(cluster, groups.firsts):
+        firsts[int(c)] = min(clone, firsts.get(int(c), clone))
+    return {c: i + 1 for i, c in enumerate(sorted(firsts, key=firsts.get))}
+
+
 def number_clusters(assigned: DataFrame) -> dict[int, int]:
-    """Number the clusters 1, 2, ... by their first clone."""
+    """Number the clusters of the clones 1, 2, ... by their first clone."""
     firsts = assigned.groupBy("cluster").agg(F.min(CLONE).alias("first")).collect()
-    ordered = sorted(firsts, key=lambda r: r["first"])
-    return {row["cluster"]: i + 1 for i, row in enumerate(ordered)}
+    return {row["cluster"]: i + 1 for i, row in enumerate(sorted(firsts, key=lambda r: r["first"]))}
 
 
 def custom_numbers(numbers: dict[int, int], custom_order: Sequence[int] | None, clusters: int) -> dict[int, int]:
@@ -132,15 +153,26 @@ def custom_numbers(numbers: dict[int, int], custom_order: Sequence[int] | None,
     return {cluster: position[number] for cluster, number in numbers.items()}
 
 
+def relabel(labels: DataFrame, custom_order: Sequence[int]) -> DataFrame:
+    """Renumber the trajectories of a label table: number ``c`` becomes its position in ``custom_order``.
+
+    Numbers that are not listed, and ``Other``, stay as they are.
+    """
+    number = trajectory_number()
+    position = F.array_position(F.array(*[F.lit(c) for c in custom_order]), number)
+    name = F.when(position > 0, F.concat(F.lit(TRAJ_PREFIX), position.cast("string"))).otherwise(F.col(K))
+    return labels.withColumn(K, name)
+
+
 def named(assigned: DataFrame, numbers: dict[int, int]) -> DataFrame:
     """Clone and trajectory name."""
     names = [F.when(F.col("cluster") == c, F.lit(f"{TRAJ_PREFIX}{i}")) for c, i in sorted(numbers.items())]
     return assigned.select(CLONE, F.coalesce(*names).alias(K))
 
 
-def no_labels(units: DataFrame) -> DataFrame:
+def no_labels(placed: DataFrame) -> DataFrame:
     """The result if no clone has a defined correlation."""
-    return defined(units).select(CLONE, F.lit(None).cast("string").alias(K))
+    return placed.select(CLONE, F.lit(None).cast("string").alias(K))
 
 
 def ward_labels(
@@ -152,13 +184,14 @@ def ward_labels(
     max_points: int = MAX_POINTS,
 ) -> DataFrame:
     """Ward clusters of the correlation rows."""
-    if defined(units).isEmpty():
-        return no_labels(units)
     projection = row_projection(units, timepoints, correlation)
     placed = place(units, projection)
-    groups = group_points(placed, projection.width, max_points)
-    assigned = groups.assign(placed, ward(groups.points, groups.weights, clusters))
-    return named(assigned, custom_numbers(number_clusters(assigned), custom_order, clusters))
+    if projection.clones == 0:
+        return no_labels(placed)
+    groups = group_points(placed, projection.clones, projection.width, max_points)
+    cluster = ward(groups.points, groups.weights, clusters)
+    numbers = custom_numbers(number_points(groups, cluster), custom_order, clusters)
+    return named(groups.assign(placed, cluster), numbers)
 
 
 def medoid_labels(
@@ -170,14 +203,18 @@ def medoid_labels(
     max_points: int = MAX_MEDOID_POINTS,
 ) -> DataFrame:
     """Clusters around medoids; each clone goes to its nearest medoid."""
-    if defined(units).isEmpty():
-        return no_labels(units)
     projection = row_projection(units, timepoints, correlation)
     placed = place(units, projection)
-    groups = group_points(placed, projection.width, max_points, real_points=True)
+    if projection.clones == 0:
+        return no_labels(placed)
+    groups = group_points(placed, projection.clones, projection.width, max_points, real_points=True)
     chosen = groups.points[medoids(groups.points, groups.weights, clusters)]
     assigned = assign_nearest(placed, chosen)
-    return named(assigned, custom_numbers(number_clusters(assigned), custom_order, clusters))
+    if groups.exact:
+        numbers = number_points(groups, nearest_centre(groups.points, chosen))
+    else:
+        numbers = number_clusters(assigned)
+    return named(assigned, custom_numbers(numbers, custom_order, clusters))
 
 
 def principal_labels(
@@ -191,11 +228,11 @@ def principal_labels(
 
     Numbered by the clusters' centres on the first axis.
     """
-    if defined(units).isEmpty():
-        return no_labels(units)
     projection = principal_projection(units, timepoints, correlation)
     placed = place(units, projection)
-    groups = group_points(placed, projection.width, max_points)
+    if projection.clones == 0:
+        return no_labels(placed)
+    groups = group_points(placed, projection.clones, projection.width, max_points)
     start = ward(groups.points, groups.weights, clusters)
     centres = weighted_centres(groups.points, groups.weights, start)
     for _ in range(CONSOLIDATION_PASSES):

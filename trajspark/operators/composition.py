@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.names import is_listed
 from trajspark.operators.area import drop_last_trajectory
 from trajspark.operators.joins import lookup_join
-from trajspark.operators.qc import is_listed
 from trajspark.schema import (
     CELL_TYPE,
     CLONE,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.functions.names import is_listed
 from trajspark.functions.slots import any_of
 from trajspark.operators.joins import lookup_join
 from trajspark.schema import (
@@ -35,11 +36,6 @@ def recode_timepoint(
     return cells.withColumn(target, F.coalesce(F.try_element_at(F.create_map(*entries), F.col(source)), F.col(source)))
 
 
-def is_listed(column: str, values: Sequence) -> Column:
-    """Membership test that is false, not null, for a null value."""
-    return F.coalesce(F.col(column).isin(*values), F.lit(False)) if values else F.lit(False)
-
-
 def exclude_patients(cells: DataFrame, patients: Sequence[str]) -> DataFrame:
     """Drop the listed patients; rows without a patient stay."""
     require(cells, PATIENT)

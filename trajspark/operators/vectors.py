@@ -75,10 +75,14 @@ def defined(units: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Projection:
-    """``v = u @ matrix - offset``; the distance between two ``v`` is the row distance."""
+    """``v = u @ matrix - offset``; the distance between two ``v`` is the row distance.
+
+    ``clones`` is the number of clones that the sums behind it ran over.
+    """
 
     matrix: np.ndarray
     offset: np.ndarray
+    clones: int
 
     @property
     def width(self) -> int:
@@ -123,9 +127,9 @@ def _root(gram: np.ndarray) -> np.ndarray:
 def row_projection(units: DataFrame, timepoints: int, method: str = "pearson") -> Projection:
     """Projection for distances between rows of the correlation matrix."""
     width = profile_width(method, timepoints)
-    sums = defined(units).agg(*_pair_sums(slots("u", width))).first()
+    sums = defined(units).agg(F.count(F.lit(1)).alias("n"), *_pair_sums(slots("u", width))).first()
     root = _root(_symmetric(sums, width))
-    return Projection(root, np.zeros(root.shape[1]))
+    return Projection(root, np.zeros(root.shape[1]), sums["n"])
 
 
 def principal_projection(
@@ -143,6 +147,8 @@ def principal_projection(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{d}") for d, c in enumerate(u)], *_pair_sums(u)
     ).first()
     n = first["n"]
+    if n == 0:
+        return Projection(np.zeros((width, 1)), np.zeros(1), 0)
     mean = np.array([first[f"s{d}"] for d in range(width)]) / n
     spread = _symmetric(first, width) / n - np.outer(mean, mean)
 
@@ -159,7 +165,7 @@ def principal_projection(
     matrix = root @ axes
     signs = np.where(loadings @ spread @ matrix < 0, -1.0, 1.0)
     matrix = matrix * signs
-    return Projection(matrix, mean @ matrix)
+    return Projection(matrix, mean @ matrix, n)
 
 
 def _trajectory_centres(units: DataFrame, labels: DataFrame, width: int) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ class Config:
     ``timepoints`` are the declared timepoints in order; without them those in the data
     are used. ``baseline`` defaults to the first. ``flag`` selects clones by a flag
     column of the cells instead of by their change. ``unique_barcodes`` says that no two
-    cells share a barcode, which saves the search for such cells.
+    cells share a barcode, which saves the search for such cells. ``weight`` names the
+    column with numbers of cells if the input is a ``cell_profile`` instead of cells.
     """
 
     clusters: int = N_CLUSTERS
@@ -57,6 +59,7 @@ class Config:
     min_c: float = MIN_C
     flag: str | Column | None = None
     custom_order: Sequence[int] | None = None
+    weight: str | None = None
 
 
 @dataclass(frozen=True)
@@ -65,14 +68,20 @@ class Trajectories:
 
     ``vectors`` has one row per clone, with ``k``; ``stats`` and ``dynamics`` are its
     long forms. ``units`` holds scaled and unit vectors of the selected clones.
+    ``source`` are the cells with ``clone_id``; ``cells`` adds ``k`` when asked for.
     """
 
     timepoints: tuple[int, ...]
-    cells: DataFrame
+    source: DataFrame
     vectors: DataFrame
     units: DataFrame
     labels: DataFrame
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """All cells with ``clone_id`` and ``k``."""
+        return cluster.label_cells(self.source, self.labels)
+
     @property
     def stats(self) -> DataFrame:
         return abundance.clone_stats(self.vectors, self.timepoints)
@@ -83,13 +92,15 @@ class Trajectories:
 
     def summary(self) -> DataFrame:
         """Counts of a run, one row per measure."""
-        width = F.count(F.lit(1)).cast("bigint")
+        rows = F.count(F.lit(1))
         cells = self.cells.agg(
-            width.alias("cells"), F.count(CLONE).alias("cells_with_clone"), F.count_if(F.col(K) != OTHER).alias("cells_labelled")
+            rows.alias("cells"),
+            F.count(CLONE).alias("cells_with_clone"),
+            F.count_if(F.col(K) != OTHER).alias("cells_labelled"),
         )
-        clone_rows = self.vectors.agg(width.alias("clones"), F.count_if(F.col(K) != OTHER).alias("clones_labelled"))
+        clone_rows = self.vectors.agg(rows.alias("clones"), F.count_if(F.col(K) != OTHER).alias("clones_labelled"))
         chosen = self.units.agg(
-            width.alias("clones_selected"), F.count_if(F.col("u").isNull()).alias("clones_undefined")
+            rows.alias("clones_selected"), F.count_if(F.col("u").isNull()).alias("clones_undefined")
         )
         out = None
         for row in (cells, clone_rows, chosen):
@@ -141,18 +152,21 @@ def find_trajectories(
         )
     source = source.drop(K)
     with_clone = clones.cells_with_clone(source)
-    kept = abundance.min_sample_cells(with_clone, config.min_sample_cells)
+    kept = abundance.min_sample_cells(with_clone, config.min_sample_cells, config.weight)
     if config.downsample:
+        if config.weight:
+            raise ValueError("downsample needs single cells")
         kept = abundance.downsample_samples(kept, config.min_sample_cells, config.seed)
     timepoints = abundance.observed_timepoints(kept, config.timepoints)
     width = len(timepoints)
 
     carry = present(source, [RESPONSE, TRB_AA])
-    sized = abundance.clone_vectors(kept, timepoints, carry)
-    abundance.check_one_vector_per_clone(sized)
+    sized = abundance.clone_vectors(kept, timepoints, carry, config.weight)
     changed = dynamics.clone_changes(sized, timepoints, config.reg)
     chosen = select_clones(changed, with_clone, timepoints, config, allowlist, exempt)
-    matrix = materialize(vectors.abundance_matrix(chosen, width, config.fill_missing))
+    matrix = vectors.abundance_matrix(chosen, width, config.fill_missing)
+    if config.flag is not None or allowlist is not None or exempt is not None:
+        matrix = materialize(matrix)  # these read further tables, once
     if config.scale:
         matrix = vectors.scaled_matrix(matrix, width)
     units = materialize(vectors.unit_vectors(matrix, width, config.correlation))
@@ -161,7 +175,7 @@ def find_trajectories(
     )
     return Trajectories(
         timepoints=tuple(timepoints),
-        cells=cluster.label_cells(source, labels),
+        source=source,
         vectors=cluster.label_clones(changed, labels),
         units=units,
         labels=labels,
@@ -171,10 +185,8 @@ def find_trajectories(
 def without_outliers(found: Trajectories, **limits) -> Trajectories:
     """Label clones with an extreme share, and those never sizeable, as ``Other`` everywhere."""
     ordinary = materialize(selection.ordinary_clones(found.stats, **limits))
-    return Trajectories(
-        timepoints=found.timepoints,
-        cells=selection.relabel_outliers(found.cells, ordinary),
+    return replace(
+        found,
         vectors=selection.relabel_outliers(found.vectors, ordinary),
-        units=found.units,
         labels=found.labels.join(ordinary, CLONE, "left_semi"),
     )
