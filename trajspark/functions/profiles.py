@@ -1,31 +1,35 @@
-"""Unit vectors whose dot products are correlations between clone trajectories."""
+"""Unit vectors whose dot products are correlations between clone trajectories.
+
+Each function takes a table and the columns with the values of a clone at its
+timepoints, and returns the table with further columns and the slots of ``u``. These are
+null for a constant trajectory, whose correlations are undefined.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.slots import any_of, total
-
+from trajspark.functions.slots import any_of, total, with_slots
 
-def _normalised(values: Sequence[Column], varies: Column) -> list[Column]:
-    length = F.sqrt(total([v * v for v in values]))
-    return [F.when(varies, v / length) for v in values]
+Profile = tuple[DataFrame, list[Column]]
 
 
-def _centred(values: Sequence[Column]) -> list[Column]:
-    mean = total(values) / F.lit(float(len(values)))
-    return [v - mean for v in values]
+def _normalised(df: DataFrame, values: Sequence[Column]) -> Profile:
+    df, (length,) = with_slots(df, "_length", [F.sqrt(total([v * v for v in values]))])
+    return df, [F.when(length > 0, v / length) for v in values]
 
 
-def _varies(values: Sequence[Column]) -> Column:
-    """False for a constant trajectory, whose correlations are undefined."""
-    return any_of([v != values[0] for v in values[1:]]) if len(values) > 1 else F.lit(False)
+def _centred(df: DataFrame, values: Sequence[Column]) -> Profile:
+    """Differences to the mean; exactly zero if all values are equal."""
+    df, (mean,) = with_slots(df, "_mean", [total(values) / F.lit(float(len(values)))])
+    varies = any_of([v != values[0] for v in values[1:]]) if len(values) > 1 else F.lit(False)
+    return with_slots(df, "_centred", [F.when(varies, v - mean).otherwise(0.0) for v in values])
 
 
-def average_ranks(values: Sequence[Column]) -> list[Column]:
+def _average_ranks(df: DataFrame, values: Sequence[Column]) -> Profile:
     """Rank of every slot among the slots; ties share the mean of their ranks."""
 
     def rank(v: Column) -> Column:
@@ -33,26 +37,25 @@ def average_ranks(values: Sequence[Column]) -> list[Column]:
         level = total([F.when(w == v, 1.0).otherwise(0.0) for w in values])
         return below + (level + 1.0) / 2.0
 
-    return [rank(v) for v in values]
+    return with_slots(df, "_rank", [rank(v) for v in values])
 
 
-def pearson(values: Sequence[Column]) -> list[Column]:
-    return _normalised(_centred(values), _varies(values))
+def pearson(df: DataFrame, values: Sequence[Column]) -> Profile:
+    return _normalised(*_centred(df, values))
 
 
-def spearman(values: Sequence[Column]) -> list[Column]:
-    return _normalised(_centred(average_ranks(values)), _varies(values))
+def spearman(df: DataFrame, values: Sequence[Column]) -> Profile:
+    return _normalised(*_centred(*_average_ranks(df, values)))
 
 
-def kendall(values: Sequence[Column]) -> list[Column]:
+def kendall(df: DataFrame, values: Sequence[Column]) -> Profile:
     """Signs of all slot differences; their dot product is Kendall's tau-b."""
-    signs = [
-        F.signum(values[j] - values[i]) for i in range(len(values)) for j in range(i + 1, len(values))
-    ]
-    return _normalised(signs, _varies(values))
+    width = len(values)
+    signs = [F.signum(values[j] - values[i]) for i in range(width) for j in range(i + 1, width)]
+    return _normalised(*with_slots(df, "_sign", signs))
 
 
-CORRELATIONS: dict[str, Callable[[Sequence[Column]], list[Column]]] = {
+CORRELATIONS: dict[str, Callable[[DataFrame, Sequence[Column]], Profile]] = {
     "pearson": pearson,
     "spearman": spearman,
     "kendall": kendall,

@@ -10,10 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def with_slots(df: DataFrame, prefix: str, values: Sequence[Column]) -> tuple[DataFrame, list[Column]]:
+    """Add one column per value, and return the references to them.
+
+    A value that later expressions use several times is computed once this way; inside
+    an array it would be copied into each of them.
+    """
+    names = [f"{prefix}{i}" for i in range(len(values))]
+    return df.withColumns(dict(zip(names, values))), [F.col(name) for name in names]
+
+
 def slot(array: str, i: int) -> Column:
     return F.get(F.col(array), F.lit(i))
 

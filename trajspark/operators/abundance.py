@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.slots import largest, long_rows, smallest
+from trajspark.functions.slots import largest, long_rows, smallest, with_slots
 from trajspark.operators.joins import lookup_join
 from trajspark.operators.ordering import take_per_group
 from trajspark.schema import (
@@ -122,9 +122,9 @@ def clone_vectors(
     check_one_vector_per_clone(counted, totals)
     joined = lookup_join(counted, totals, [PATIENT, TREATMENT], "inner", written=True)
     sampled = [F.col(f"_total{i}") > 0 for i in range(width)]
-    n = [F.when(s, F.col(f"_n{i}")) for i, s in enumerate(sampled)]
-    size = [F.when(s, F.col(f"_total{i}")) for i, s in enumerate(sampled)]
-    perc = [F.when(s, F.col(f"_n{i}") / F.col(f"_total{i}") * 100) for i, s in enumerate(sampled)]
+    joined, size = with_slots(joined, "_size", [F.when(s, F.col(f"_total{i}")) for i, s in enumerate(sampled)])
+    joined, n = with_slots(joined, "_count", [F.when(s, F.col(f"_n{i}")) for i, s in enumerate(sampled)])
+    joined, perc = with_slots(joined, "_perc", [c / t * 100 for c, t in zip(n, size)])
     return joined.select(
         PATIENT,
         TREATMENT,

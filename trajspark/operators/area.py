@@ -12,6 +12,7 @@ from trajspark.operators.abundance import clone_stats
 from trajspark.operators.joins import lookup_join
 from trajspark.operators.ordering import ordered_rank
 from trajspark.operators.selection import on_allowlist
+from trajspark.session import materialize
 from trajspark.schema import CLONE, K, OTHER, PATIENT, RESPONSE, TIMEPOINT, TRB_AA, TREATMENT, present, require
 
 # The response groups and the week whose rows carry labels.
@@ -37,13 +38,11 @@ def ranked_clones(clones: DataFrame) -> DataFrame:
 
 def stacked_clones(clones: DataFrame) -> DataFrame:
     """``ranked_clones`` with ``clone_ord``, the place over all trajectories."""
-    ranked = ranked_clones(clones)
-    number = trajectory_number()
-    sizes = ranked.groupBy(K).agg(F.max("clone_rank").alias("size")).select(number.alias("number"), "size")
-    table = sizes.agg(F.collect_list(F.struct("number", "size"))).scalar()
-    earlier = F.filter(table, lambda t: t["number"] < number)
-    before = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda acc, t: acc + t["size"])
-    offsets = ranked.select(K).distinct().select(K, before.alias("_before"))
+    ranked = materialize(ranked_clones(clones))
+    # one row per trajectory, so the window without partitions is small
+    sizes = ranked.groupBy(K).agg(F.max("clone_rank").alias("_size"))
+    earlier = Window.orderBy(trajectory_number(), K).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(K, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     placed = lookup_join(ranked, offsets, [K], "inner")
     return placed.withColumn("clone_ord", F.col("_before") + F.col("clone_rank")).drop("_before")
 

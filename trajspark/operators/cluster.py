@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.names import trajectory_number
 from trajspark.functions.partition import medoids, nearest_centre, ward, weighted_centres
-from trajspark.functions.slots import label_of, largest, slots, smallest, squared_distance
+from trajspark.functions.slots import label_of, largest, slots, smallest, squared_distance, with_slots
 from trajspark.operators.joins import lookup_join
 from trajspark.operators.vectors import Projection, defined, principal_projection, row_projection
 from trajspark.schema import CLONE, K, N_CLUSTERS, OTHER, TRAJ_PREFIX, require
@@ -125,10 +125,9 @@ def group_points(
 
 def assign_nearest(placed: DataFrame, centres: np.ndarray) -> DataFrame:
     """Clone and the index of its nearest centre."""
-    distances = [squared_distance(slots("v", centres.shape[1]), c) for c in centres]
-    packed = placed.withColumn("_d", F.array(*distances))
-    choice = label_of(slots("_d", len(centres)), range(len(centres)), smallest)
-    return packed.select(CLONE, "v", choice.alias("cluster"))
+    spread, v = with_slots(placed, "_v", slots("v", centres.shape[1]))
+    spread, distances = with_slots(spread, "_d", [squared_distance(v, c) for c in centres])
+    return spread.select(CLONE, "v", label_of(distances, range(len(centres)), smallest).alias("cluster"))
 
 
 def number_points(groups: Groups, cluster: np.ndarray) -> dict[int, int]:

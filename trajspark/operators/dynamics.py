@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.slots import any_null, label_of, largest, long_rows, slots, smallest
+from trajspark.functions.slots import any_null, label_of, largest, long_rows, slots, smallest, with_slots
 from trajspark.schema import CLONE, PATIENT, RESPONSE, TIMEPOINT, TRB_AA, TREATMENT, present, require
 
 CHANGE_COLUMNS = (
@@ -41,31 +41,27 @@ def clone_changes(vectors: DataFrame, timepoints: Sequence[int], reg: float = 0.
     extremes ignore such timepoints. Needs no shuffle.
     """
     require(vectors, "perc")
-    width = len(timepoints)
-    perc = slots("perc", width)
+    perc = slots("perc", len(timepoints))
     pairs = list(zip(perc[1:], perc[:-1]))
-    no_change = F.lit(1.0)
-    fc = [no_change, *[fold_change(now, before, reg) for now, before in pairs]]
+    fc = [F.lit(1.0), *[fold_change(now, before, reg) for now, before in pairs]]
     diff = [F.lit(0.0), *[F.coalesce(now - before, F.lit(0.0)) for now, before in pairs]]
     mean = [F.lit(None).cast("double"), *[(now + before) / 2 for now, before in pairs]]
-    arrays = vectors.select(
-        "*",
+    stepped, fc = with_slots(vectors, "_fc", fc)
+    stepped, diff = with_slots(stepped, "_diff", diff)
+    incomplete = any_null(perc)
+    return stepped.select(
+        *vectors.columns,
         F.array(*fc).alias("delta_fc"),
         F.array(*diff).alias("delta_c"),
         F.array(*mean).alias("avg_freq"),
-    )
-    incomplete = any_null(perc)
-    fcs, diffs = slots("delta_fc", width), slots("delta_c", width)
-    return arrays.select(
-        "*",
         F.when(~incomplete, smallest(perc)).alias("min_perc"),
         F.when(~incomplete, largest(perc)).alias("max_perc"),
         label_of(perc, timepoints, largest).alias("timepoint_max"),
         label_of(perc, timepoints, smallest).alias("timepoint_min"),
-        largest(fcs).alias("delta_fc_max"),
-        smallest(fcs).alias("delta_fc_min"),
-        largest(diffs).alias("delta_c_max"),
-        smallest(diffs).alias("delta_c_min"),
+        largest(fc).alias("delta_fc_max"),
+        smallest(fc).alias("delta_fc_min"),
+        largest(diff).alias("delta_c_max"),
+        smallest(diff).alias("delta_c_min"),
     )
 
 

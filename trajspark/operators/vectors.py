@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.functions.profiles import CORRELATIONS, profile_width
-from trajspark.functions.slots import any_null, dot, slot, slots, total
+from trajspark.functions.slots import any_null, dot, slot, slots, total, with_slots
 from trajspark.schema import CLONE, K, require
 from trajspark.session import materialize
 
@@ -64,8 +64,9 @@ def unit_vectors(matrix: DataFrame, width: int, method: str = "pearson") -> Data
     """Add ``u``; null for a clone that is constant over time."""
     if method not in CORRELATIONS:
         raise ValueError(f"method must be one of {', '.join(CORRELATIONS)}")
-    u = CORRELATIONS[method](slots("x", width))
-    return matrix.withColumn("u", F.array(*u)).withColumn("u", F.when(slot("u", 0).isNotNull(), F.col("u")))
+    spread, x = with_slots(matrix, "_x", slots("x", width))
+    spread, u = CORRELATIONS[method](spread, x)
+    return spread.select(*matrix.columns, F.when(u[0].isNotNull(), F.array(*u)).alias("u"))
 
 
 def defined(units: DataFrame) -> DataFrame:
