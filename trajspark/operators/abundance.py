@@ -119,12 +119,13 @@ def clone_vectors(
     totals = materialize(
         counted.groupBy(PATIENT, TREATMENT).agg(*[F.sum(f"_n{i}").alias(f"_total{i}") for i in range(width)])
     )
-    check_one_vector_per_clone(counted, totals)
-    joined = lookup_join(counted, totals, [PATIENT, TREATMENT], "inner", written=True)
-    sampled = [F.col(f"_total{i}") > 0 for i in range(width)]
-    joined, size = with_slots(joined, "_size", [F.when(s, F.col(f"_total{i}")) for i, s in enumerate(sampled)])
-    joined, n = with_slots(joined, "_count", [F.when(s, F.col(f"_n{i}")) for i, s in enumerate(sampled)])
-    joined, perc = with_slots(joined, "_perc", [c / t * 100 for c, t in zip(n, size)])
+    rows = check_one_vector_per_clone(counted, totals)
+    joined = lookup_join(counted, totals, [PATIENT, TREATMENT], "inner", rows=rows)
+    totals_of = [F.col(f"_total{i}") for i in range(width)]
+    counts_of = [F.col(f"_n{i}") for i in range(width)]
+    joined, size = with_slots(joined, "_size", [F.when(t > 0, t) for t in totals_of])
+    joined, n = with_slots(joined, "_count", [F.when(t > 0, c) for t, c in zip(totals_of, counts_of)])
+    joined, perc = with_slots(joined, "_perc", [F.try_divide(c, t) * 100 for t, c in zip(totals_of, counts_of)])
     return joined.select(
         PATIENT,
         TREATMENT,
@@ -140,19 +141,20 @@ def clone_vectors(
     )
 
 
-def check_one_vector_per_clone(counted: DataFrame, totals: DataFrame) -> None:
+def check_one_vector_per_clone(counted: DataFrame, totals: DataFrame) -> int:
     """Raise if a clone has cells under two treatments; its changes would be ill-defined.
 
     Only a patient with two treatments, which the small table of totals tells, can have
-    such a clone.
+    such a clone. Returns the number of rows of the totals.
     """
     rows = totals.agg(F.count(F.lit(1)).alias("all"), F.countDistinct(PATIENT).alias("patients")).first()
     if rows["all"] == rows["patients"]:
-        return
+        return rows["all"]
     twice = counted.groupBy(CLONE).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
     example = twice.select(CLONE).first()
     if example is not None:
         raise ValueError(f"clone {example[0]} has cells under more than one treatment")
+    return rows["all"]
 
 
 def clone_stats(vectors: DataFrame, timepoints: Sequence[int], extra: Sequence[str] = ()) -> DataFrame:

@@ -24,13 +24,9 @@ CHANGE_COLUMNS = (
 
 def fold_change(now: Column, before: Column, reg: float) -> Column:
     """``now / before``; infinite when growing from zero, 1 when undefined."""
-    top, bottom = now + F.lit(float(reg)), before + F.lit(float(reg))
-    return (
-        F.when(now.isNull() | before.isNull(), F.lit(1.0))
-        .when((top == 0) & (bottom == 0), F.lit(1.0))
-        .when(bottom == 0, F.lit(float("inf")))
-        .otherwise(top / bottom)
-    )
+    top, bottom = (now + float(reg), before + float(reg)) if reg else (now, before)
+    grown = F.when((bottom == 0) & (top > 0), F.lit(float("inf")))
+    return F.coalesce(F.when(bottom > 0, top / bottom), grown, F.lit(1.0))
 
 
 def clone_changes(vectors: DataFrame, timepoints: Sequence[int], reg: float = 0.0) -> DataFrame:

@@ -24,18 +24,20 @@ def lookup_join(
     how: str = "left",
     max_rows: int | None = None,
     hot_rows: int | None = None,
-    written: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``lookup`` (unique on ``on``) to ``fact`` so that no hot key fills a task.
 
     The lookup table is computed once and counted. Up to ``max_rows`` rows it is
     broadcast and ``fact`` does not move. Beyond that the fact table is split, see
     ``split_join``. Both ways give the same rows, for ``left``, ``inner``,
-    ``left_semi`` and ``left_anti``. ``written`` says that the lookup table is already
-    in the shared folder.
+    ``left_semi`` and ``left_anti``. ``rows`` passes on the number of rows of a lookup
+    table that is in the shared folder already.
     """
-    lookup = lookup if written else materialize(lookup)
-    if lookup.count() <= (BROADCAST_ROWS if max_rows is None else max_rows):
+    if rows is None:
+        lookup = materialize(lookup)
+        rows = lookup.count()
+    if rows <= (BROADCAST_ROWS if max_rows is None else max_rows):
         return fact.join(F.broadcast(lookup), list(on), how)
     return split_join(fact, lookup, on, how, hot_rows)
 

@@ -30,10 +30,9 @@ def is_dynamic(width: int, baseline: int, min_fc: float = MIN_FC, min_c: float =
     A clone that peaks after the baseline must grow, one that peaks at it must shrink.
     """
     fc, diff = slots("delta_fc", width), slots("delta_c", width)
-    grew = any_of([(f > F.lit(float(min_fc))) & (d > F.lit(float(min_c))) for f, d in zip(fc, diff)])
-    shrank = any_of([(f < F.lit(1.0 / min_fc)) & (d < F.lit(-float(min_c))) for f, d in zip(fc, diff)])
-    peak_first = F.col("timepoint_max") == F.lit(baseline)
-    return F.coalesce((~peak_first & grew) | (peak_first & shrank), F.lit(False))
+    grew = any_of([(f > float(min_fc)) & (d > float(min_c)) for f, d in zip(fc, diff)])
+    shrank = any_of([(f < 1.0 / min_fc) & (d < -float(min_c)) for f, d in zip(fc, diff)])
+    return F.when(F.col("timepoint_max") == baseline, shrank).otherwise(grew)
 
 
 def dynamic_clones(

@@ -169,7 +169,9 @@ def find_trajectories(
         matrix = materialize(matrix)  # these read further tables, once
     if config.scale:
         matrix = vectors.scaled_matrix(matrix, width)
-    units = materialize(vectors.unit_vectors(matrix, width, config.correlation))
+    units = vectors.unit_vectors(matrix, width, config.correlation)
+    if config.method != "absolute":
+        units = materialize(units)  # the clusterings read them several times
     labels = cluster.trajectory_labels(
         units, width, config.method, config.clusters, config.correlation, config.custom_order
     )
