@@ -33,7 +33,8 @@ def ordered_rank(
     """
     running = dict(running or {})
     partition, order = list(partition), list(order)
-    part = F.to_json(F.struct(*partition)) if partition else F.lit("")
+    # as one struct, null keys are equal to each other and survive the join
+    part = F.struct(*partition) if partition else F.lit("")
     sliced = materialize(
         df.repartitionByRange(*[F.col(c) for c in partition + order])
         .withColumn("_slice", F.spark_partition_id())
@@ -81,28 +82,30 @@ def take_per_group(df: DataFrame, by: Sequence[str], size: int | None, seed: int
     and only the rows of that bucket are ranked. Barcodes must be unique.
     """
     require(df, BARCODE, *by)
-    by = list(by)
-    digest = sample_order(seed)
-    keyed = df.select(*by, digest.alias("_digest")).withColumn("_bucket", F.substring("_digest", 1, digits))
+    # as one struct, null keys are equal to each other and survive the joins
+    group, digest = F.struct(*by), sample_order(seed)
+    keyed = df.select(group.alias("_group"), digest.alias("_digest"))
+    keyed = keyed.withColumn("_bucket", F.substring("_digest", 1, digits))
 
-    histogram = materialize(keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows")))
-    group_sizes = histogram.groupBy(*by).agg(F.sum("_rows").alias("n"))
+    histogram = materialize(keyed.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_rows")))
+    group_sizes = histogram.groupBy("_group").agg(F.sum("_rows").alias("n"))
     target = F.lit(size) if size is not None else group_sizes.agg(F.min("n")).scalar()
-    wanted = group_sizes.select(*by, target.cast("bigint").alias("_size"))
-    up_to = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = group_sizes.select("_group", target.cast("bigint").alias("_size"))
+    up_to = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
         histogram.withColumn("_upto", F.sum("_rows").over(up_to))
-        .join(wanted, by)
+        .join(wanted, "_group")
         .filter((F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_rows") < F.col("_size")))
-        .select(*by, "_bucket", (F.col("_size") - F.col("_upto") + F.col("_rows")).alias("_need"))
+        .select("_group", "_bucket", (F.col("_size") - F.col("_upto") + F.col("_rows")).alias("_need"))
     )
 
-    in_edge = lookup_join(keyed, edge, [*by, "_bucket"], "inner")
-    ranked = in_edge.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_digest")))
-    last = ranked.filter(F.col("_rank") == F.col("_need")).select(*by, F.col("_digest").alias("_last"))
-    bound = wanted.join(last, by, "left").select(*by, "_size", "_last")
+    in_edge = lookup_join(keyed, edge, ["_group", "_bucket"], "inner")
+    ranked = in_edge.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy("_digest")))
+    last = ranked.filter(F.col("_rank") == F.col("_need")).select("_group", F.col("_digest").alias("_last"))
+    bound = wanted.join(last, "_group", "left").select("_group", "_size", "_last")
 
-    kept = lookup_join(df.withColumn("_digest", digest), bound, by, "inner").filter(
+    marked = df.withColumn("_group", group).withColumn("_digest", digest)
+    kept = lookup_join(marked, bound, ["_group"], "inner").filter(
         (F.col("_size") > 0) & (F.col("_last").isNull() | (F.col("_digest") <= F.col("_last")))
     )
     return kept.select(*df.columns)
