@@ -17,26 +17,37 @@ def ward(points: np.ndarray, weights: np.ndarray, clusters: int) -> np.ndarray:
     chains find the joins; undoing the most costly ones leaves the groups.
     """
     count = len(points)
+    name = np.arange(count)
     centre, weight = points.astype(float).copy(), weights.astype(float).copy()
     open_ = np.ones(count, dtype=bool)
+    left = count
     joins: list[tuple[float, int, int]] = []
     chain: list[int] = []
-    while len(joins) < count - 1:
+    while left > 1:
+        if 2 * left < len(name):
+            # clusters that were joined into others leave the arrays
+            place = np.cumsum(open_) - 1
+            chain = [int(place[i]) for i in chain]
+            name, centre, weight, open_ = name[open_], centre[open_], weight[open_], open_[open_]
         if not chain:
             chain.append(int(np.argmax(open_)))
         tip = chain[-1]
-        gap = ((centre - centre[tip]) ** 2).sum(axis=1)
-        cost = np.where(open_, 2 * weight * weight[tip] / (weight + weight[tip]) * gap, np.inf)
+        gap = np.zeros(len(name))
+        for d in range(centre.shape[1]):
+            gap += (centre[:, d] - centre[tip, d]) ** 2
+        cost = 2 * weight * weight[tip] / (weight + weight[tip]) * gap
+        cost[~open_] = np.inf
         cost[tip] = np.inf
         near = int(np.argmin(cost))
         if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
             near = chain[-2]
             chain = chain[:-2]
-            joins.append((float(cost[near]), near, tip))
+            joins.append((float(cost[near]), int(name[near]), int(name[tip])))
             both = weight[near] + weight[tip]
             centre[near] = (weight[near] * centre[near] + weight[tip] * centre[tip]) / both
             weight[near] = both
             open_[tip] = False
+            left -= 1
         else:
             chain.append(near)
 

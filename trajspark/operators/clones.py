@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trajspark.operators.joins import lookup_join
 from trajspark.schema import BARCODE, CLONE, PATIENT, TRA_NT, TRB_AA, TRB_NT, require
+from trajspark.session import materialize
 
 SEPARATOR = ":"
 # How several clones of one cell are joined, the mark of a missing
@@ -81,8 +82,9 @@ def assign_clones(
     ``ambiguity='combine'``: a barcode with several clones gets all of them, joined.
     ``ambiguity='drop'``: a barcode that has more than one keyed row gets none.
 
-    Almost every barcode has one row and needs no second look. So only the others are
-    joined back, and the cells themselves need not be shuffled by barcode.
+    Almost every barcode has one row and needs no second look. Those with several rows
+    are found by counting barcodes alone. Only they are looked at again and joined
+    back, so the cells themselves need not be shuffled by barcode.
     ``unique_barcodes=True`` skips the search for them.
     """
     require(cells, BARCODE)
@@ -92,23 +94,25 @@ def assign_clones(
     if unique_barcodes:
         return keyed
 
-    rows = keyed.groupBy(BARCODE, CLONE).agg(F.count(F.lit(1)).alias("_rows"))
-    has_key = F.col(CLONE).isNotNull()
-    per_barcode = rows.groupBy(BARCODE).agg(
-        F.sum(F.when(has_key, F.col("_rows")).otherwise(0)).alias("_keyed"),
-        F.count_if(has_key).alias("_clones"),
-        F.count_if(~has_key).alias("_without"),
-    )
+    # a barcode with one keyed row matters only if other rows of it have no key
+    counted = keyed.groupBy(BARCODE).agg(F.count(CLONE).alias("_keyed"), F.count(F.lit(1)).alias("_rows"))
+    least = F.col("_keyed") > (1 if ambiguity == "drop" else 0)
+    repeated = materialize(counted.filter((F.col("_rows") > 1) & least).select(BARCODE))
+    rows = repeated.count()
+    if rows == 0:
+        return keyed
     if ambiguity == "drop":
-        several = per_barcode.filter(F.col("_keyed") > 1).select(BARCODE, F.lit(True).alias("_several"))
-        marked = lookup_join(keyed, several, [BARCODE], "left")
-        resolved = F.when(F.col("_several").isNull(), F.col(CLONE))
-    else:
-        affected = per_barcode.filter((F.col("_clones") > 1) | ((F.col("_clones") == 1) & (F.col("_without") > 0)))
-        joint = combined_clones(rows.join(affected, BARCODE, "left_semi")).withColumnRenamed(CLONE, "_joint")
-        marked = lookup_join(keyed, joint, [BARCODE], "left")
-        resolved = F.coalesce(F.col("_joint"), F.col(CLONE))
-    return marked.withColumn(CLONE, resolved).select(*[c for c in cells.columns if c != CLONE], CLONE)
+        return lookup_join(
+            keyed, repeated.withColumn("_repeated", F.lit(True)), [BARCODE], "left", rows=rows
+        ).select(
+            *[c for c in keyed.columns if c != CLONE],
+            F.when(F.col("_repeated").isNull(), F.col(CLONE)).alias(CLONE),
+        )
+    own = lookup_join(keyed.select(BARCODE, CLONE), repeated, [BARCODE], "left_semi", rows=rows)
+    joint = combined_clones(own).withColumnRenamed(CLONE, "_joint")
+    return lookup_join(keyed, joint, [BARCODE], "left").select(
+        *[c for c in keyed.columns if c != CLONE], F.coalesce("_joint", CLONE).alias(CLONE)
+    )
 
 
 def cells_with_clone(cells: DataFrame) -> DataFrame:

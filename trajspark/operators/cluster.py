@@ -25,7 +25,7 @@ from trajspark.operators.vectors import Projection, defined, principal_projectio
 from trajspark.schema import CLONE, K, N_CLUSTERS, OTHER, TRAJ_PREFIX, require
 from trajspark.session import materialize
 
-MAX_POINTS = 4_000
+MAX_POINTS = 20_000
 MAX_MEDOID_POINTS = 2_000
 CONSOLIDATION_PASSES = 10
 METHODS = ("hclust", "pam", "hcpc", "absolute")
@@ -101,12 +101,18 @@ def group_points(
             F.min("first").alias("first"),
         )
     )
-    halvings = 0
-    while cells.count() > max_points:
-        halvings += 1
-        coarser = F.array(*[F.shiftright(c, 1) for c in slots("cell", width)])
+    # merge neighbouring cells: along all axes while there are far too many, then along
+    # one axis at a time, so that no step gives up more detail than it must
+    halved, axis = [0] * width, width - 1
+    count = cells.count()
+    while count > max_points:
+        axes = range(width) if count > max_points * 2**width else [axis]
+        for d in axes:
+            halved[d] += 1
+        axis = (axis - 1) % width
+        coarser = [F.shiftright(c, 1) if d in axes else c for d, c in enumerate(slots("cell", width))]
         cells = materialize(
-            cells.withColumn("cell", coarser)
+            cells.withColumn("cell", F.array(*coarser))
             .groupBy("cell")
             .agg(
                 F.sum("w").alias("w"),
@@ -115,11 +121,12 @@ def group_points(
                 F.min("first").alias("first"),
             )
         )
+        count = cells.count()
     rows = sorted(cells.collect(), key=lambda r: r.first)
     weights = np.array([r.w for r in rows], dtype=float)
     means = np.array([r.s for r in rows], dtype=float) / weights[:, None]
     points = np.array([r.member for r in rows], dtype=float) if real_points else means
-    key = F.array(*[F.shiftright(c, halvings) for c in fine])
+    key = F.array(*[F.shiftright(c, h) for c, h in zip(fine, halved)])
     return Groups(points, weights, [r.first for r in rows], False, key, [r.cell for r in rows])
 
 

@@ -59,9 +59,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_dynamics_csv(dynamics: DataFrame, folder: str, method: str) -> str:
-    """Write the clone dynamics under their usual name; returns the path."""
-    n_timepoints = dynamics.select("timepoint").distinct().count()
+def write_dynamics_csv(dynamics: DataFrame, folder: str, method: str, n_timepoints: int | None = None) -> str:
+    """Write the clone dynamics under their usual name; returns the path.
+
+    Without ``n_timepoints`` the timepoints in the table are counted first.
+    """
+    if n_timepoints is None:
+        n_timepoints = dynamics.select("timepoint").distinct().count()
     path = f"{folder.rstrip('/')}/{dynamics_file_name(n_timepoints, method)}"
     write_csv(dynamics, path)
     return path
