@@ -120,6 +120,19 @@ def test_type_filters_and_labels(cells):
     assert labels["A", "Traj 2", "CM"].timepoint == 3
 
 
+def test_equal_numbers_of_cells(cells):
+    got = composition.composition(cells, TIMES, level="all", mode="abs", equalize=True)
+    # 40 cells at each timepoint, so nothing is left out
+    plain = composition.composition(cells, TIMES, level="all", mode="abs")
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
+    # two cells more under B are left out again, whichever they are
+    more = cells.union(cells.filter("patient_alias = 'P3'").limit(2).withColumn("barcode", F.concat(F.lit("x"), "barcode")))
+    counts = composition.composition(more, TIMES, level="patient", mode="abs", equalize=True)
+    assert counts.filter("patient_alias = 'P3' and n > 0").count() == 2
+    with pytest.raises(ValueError):
+        composition.composition(cells, TIMES, equalize=True, counts=composition.type_counts(cells, TIMES))
+
+
 def test_clone_share_includes_other(cells):
     got = table(composition.clone_type_frequency(cells, TIMES), "clone_id", "timepoint", "metaclusters_exh")
     assert got["c1", 0, "CM"].freq == pytest.approx(0.2)

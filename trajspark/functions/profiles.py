@@ -1,8 +1,8 @@
 """Unit vectors whose dot products are correlations between clone trajectories.
 
 Each function takes a table and the columns with the values of a clone at its
-timepoints, and returns the table with further columns and the slots of ``u``. These are
-null for a constant trajectory, whose correlations are undefined.
+timepoints, and returns the table with further columns and the slots of ``u``. Their
+values mean nothing for a constant trajectory, see ``varies``.
 """
 
 from __future__ import annotations
@@ -17,16 +17,22 @@ from trajspark.functions.slots import any_of, total, with_slots
 Profile = tuple[DataFrame, list[Column]]
 
 
+def varies(values: Sequence[Column]) -> Column:
+    """False for a constant trajectory, whose correlations are undefined.
+
+    Tested on the values themselves, so that a filter on it stays a short expression.
+    """
+    return any_of([v != values[0] for v in values[1:]]) if len(values) > 1 else F.lit(False)
+
+
 def _normalised(df: DataFrame, values: Sequence[Column]) -> Profile:
     df, (length,) = with_slots(df, "_length", [F.sqrt(total([v * v for v in values]))])
     return df, [F.when(length > 0, v / length) for v in values]
 
 
 def _centred(df: DataFrame, values: Sequence[Column]) -> Profile:
-    """Differences to the mean; exactly zero if all values are equal."""
-    df, (mean,) = with_slots(df, "_mean", [total(values) / F.lit(float(len(values)))])
-    varies = any_of([v != values[0] for v in values[1:]]) if len(values) > 1 else F.lit(False)
-    return with_slots(df, "_centred", [F.when(varies, v - mean).otherwise(0.0) for v in values])
+    df, (mean,) = with_slots(df, "_mean", [total(values) / float(len(values))])
+    return with_slots(df, "_centred", [v - mean for v in values])
 
 
 def _average_ranks(df: DataFrame, values: Sequence[Column]) -> Profile:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.names import is_listed
+from trajspark.operators.abundance import downsample_to_smallest
 from trajspark.operators.area import drop_last_trajectory
 from trajspark.operators.joins import lookup_join
 from trajspark.schema import (
@@ -163,6 +164,8 @@ def composition(
     drop_types: Sequence[str] | None = None,
     drop_rows: Sequence[dict[str, str]] = (),
     top_n: int | None = None,
+    equalize: bool = False,
+    seed: int = 19,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Composition of the trajectories over time.
@@ -173,14 +176,21 @@ def composition(
 
     At patient level ``selected``, ``treatments`` and ``drop_rows`` apply before the grid
     is completed, so they shape it; elsewhere ``selected`` applies after it. ``drop_rows``
-    are combinations of column values to leave out. ``counts`` passes on the result of
-    ``type_counts`` where several reports are made from the same cells.
+    are combinations of column values to leave out. ``equalize`` first takes equally many
+    random cells of every timepoint (and treatment), which needs single cells. ``counts``
+    passes on the result of ``type_counts`` where several reports are made from the same
+    cells.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {', '.join(LEVELS)}")
     by_patient = level == "patient"
     if not by_patient and (treatments is not None or drop_rows):
         raise ValueError("treatments and drop_rows need level='patient'")
+    if equalize:
+        if counts is not None:
+            raise ValueError("equalize needs cells, not counts")
+        with_clone = cells.filter(F.col(K).isNotNull() & F.col(TIMEPOINT).isin(*timepoints))
+        cells = downsample_to_smallest(with_clone, [TIMEPOINT, *LEVELS[level][:1]], seed)
     counted = type_counts(cells, timepoints) if counts is None else counts
     # the last trajectory leaves the samples, too, so their totals are taken again
     if exclude_last:

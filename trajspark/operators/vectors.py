@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.functions.profiles import CORRELATIONS, profile_width
+from trajspark.functions.profiles import CORRELATIONS, profile_width, varies
 from trajspark.functions.slots import any_null, dot, slot, slots, total, with_slots
 from trajspark.schema import CLONE, K, require
 from trajspark.session import materialize
@@ -66,7 +66,7 @@ def unit_vectors(matrix: DataFrame, width: int, method: str = "pearson") -> Data
         raise ValueError(f"method must be one of {', '.join(CORRELATIONS)}")
     spread, x = with_slots(matrix, "_x", slots("x", width))
     spread, u = CORRELATIONS[method](spread, x)
-    return spread.select(*matrix.columns, F.when(u[0].isNotNull(), F.array(*u)).alias("u"))
+    return spread.select(*matrix.columns, F.when(varies(x), F.array(*u)).alias("u"))
 
 
 def defined(units: DataFrame) -> DataFrame:

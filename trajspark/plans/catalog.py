@@ -588,6 +588,12 @@ def ctype_treatment_fc(spark, sf_dir):
     return _report(spark, sf_dir, mode="fc", selected=SELECTED)
 
 
+def ctype_equalized(spark, sf_dir):
+    cells = run(spark, sf_dir).cells
+    out = composition.composition(cells, TIMEPOINTS, equalize=True, seed=SEED)
+    return out.select(TIMEPOINT, TREATMENT, K, CELL_TYPE, *rounded("cycling", "delta"))
+
+
 def ctype_treatment_patient(spark, sf_dir):
     return _report(
         spark, sf_dir, level="patient", mode="fc", selected=SELECTED, treatments=SOME_TREATMENTS, keep_types=SOME_TYPES
@@ -696,6 +702,7 @@ QUERIES: tuple[Query, ...] = (
     ctype_log2fc,
     ctype_treatment,
     ctype_treatment_fc,
+    ctype_equalized,
     ctype_treatment_patient,
     ctype_filtered,
     ctype_topn,

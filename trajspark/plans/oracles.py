@@ -506,6 +506,11 @@ cells_k AS (
   SELECT b.*, coalesce(l.k, 'Other') AS k FROM base b LEFT JOIN labels l ON l.clone_id = b.clone_id)"""
 NOT_LAST = "k = 'Other' OR k <> (SELECT 'Traj ' || CAST(max(kn) AS VARCHAR) FROM clones_k)"
 
+SAMPLED = f"""barcode IN (SELECT barcode FROM (
+  SELECT barcode, row_number() OVER (PARTITION BY timepoint, treatment ORDER BY md5(barcode || '|{q.SEED}')) AS place
+  FROM cells_k) WHERE place <= (
+    SELECT min(n) FROM (SELECT count(*) AS n FROM cells_k GROUP BY timepoint, treatment)))"""
+
 
 def cycling(keys: str) -> str:
     return over(
@@ -607,6 +612,7 @@ FROM named GROUP BY treatment""",
     "ctype_log2fc": report("", "fc", seen=NOT_LAST),
     "ctype_treatment": report("treatment, ", "delta"),
     "ctype_treatment_fc": report("treatment, ", "fc", where=f"k IN ({listed(q.SELECTED)})"),
+    "ctype_equalized": report("treatment, ", "delta", seen=SAMPLED),
     "ctype_treatment_patient": patient_report(
         "fc",
         f"k IN ({listed(q.SELECTED)}) AND treatment IN ({listed(q.SOME_TREATMENTS)})",
