@@ -12,8 +12,7 @@ that pairs stay in proportion to it; a set uses the classes of its own size step
 the next, and thereby shares one of them with every set it can link to.
 
 Which shingles are frequent is read from a table of counters of fixed size over all
-documents: a shingle is frequent if its counter exceeds ``frequent`` or eight times the
-mean. Shared counters cost time, never a link.
+documents: a shingle is frequent if its counter exceeds twice the mean by ``frequent``. Shared counters cost time, never a link.
 
 Sets that are equal are merged first. Index entries with one set are dropped. Of the rest
 every set is compared with the heaviest set of each entry, and linked sets are joined to
@@ -34,11 +33,11 @@ from pyspark.sql import functions as F
 
 from trajspark.llm import words as W
 from trajspark.llm.components import components
-from trajspark.llm.tables import lists, map_arrow, sorted_groups, written
+from trajspark.llm.tables import IdFilter, lists, map_arrow, sorted_groups, written
 
 SHINGLE = 5
 PERCENT = 80
-COUNTERS = 1 << 22
+COUNTERS = 1 << 20
 COUNTER_CHUNK = 1 << 12
 FREQUENT = 64
 BLOCK_ROWS = 512
@@ -46,7 +45,7 @@ CLASS_SIZE = 8
 SIZE_STEP = 1.25
 
 U64 = np.uint64
-_CELL_SHIFT = U64(64 - 22)
+_CELL_SHIFT = U64(64 - 20)
 
 
 def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -104,7 +103,7 @@ def frequent_cells(docs: DataFrame, length: int, frequent: int) -> np.ndarray:
     cells = np.zeros(COUNTERS, dtype=np.int64)
     for row in totals.toLocalIterator():
         cells[row.chunk * COUNTER_CHUNK : (row.chunk + 1) * COUNTER_CHUNK] = row.counts
-    return np.packbits(cells > max(frequent, 8 * cells.mean()))
+    return np.packbits(cells > frequent + 2 * cells.mean())
 
 
 def _size_class(n: int) -> int:
@@ -206,29 +205,63 @@ def _shared(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(keep, postings.schema)
 
 
-def _sets(docs: DataFrame, length: int) -> DataFrame:
-    """Sorted shingles and parity bitmap of every document."""
+def _of_sets(docs: DataFrame, ids: DataFrame, length: int, bitmaps: bool) -> DataFrame:
+    """Sorted shingles, or parity bitmaps, of the documents whose ``rep`` is in ``ids``."""
+    wanted = IdFilter(ids, "rep")
 
     def sets(batch):
-        ids = batch.column(0)
+        batch = batch.filter(wanted.keep(batch.column(2)))
+        names = batch.column(0)
         for first, values, counts in shingle_sets(batch.column(1), length):
             bounds = np.concatenate([[0], np.cumsum(counts)])
-            bits = [parity_bits(values[lo:hi]).tobytes() if hi > lo else b"" for lo, hi in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, len(counts)), lists(values.view(np.int64), counts), pa.array(bits, pa.binary())],
-                ["rep", "shingles", "bits"],
-            )
+            if bitmaps:
+                bits = [parity_bits(values[lo:hi]).tobytes() if hi > lo else b"" for lo, hi in zip(bounds[:-1], bounds[1:])]
+                column = pa.array(bits, pa.binary())
+            else:
+                column = lists(values.view(np.int64), counts)
+            yield pa.RecordBatch.from_arrays([names.slice(first, len(counts)), pa.array(counts), column], ["rep", "n", "set"])
+
+    rows = docs.filter("doc_id is not null").select("doc_id", "text", IdFilter.cell("doc_id").alias("cell"))
+    kind = "binary" if bitmaps else "array<bigint>"
+    return map_arrow(rows, sets, f"rep bigint, n bigint, set {kind}").join(ids, "rep")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("y"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose bitmaps allow a link."""
+
+    def compare(batch):
+        na, nb = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+        kept = np.zeros(len(na), dtype=bool)
+        for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            gap = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+            kept[i] = gap * (100 + percent) <= (100 - percent) * (na[i] + nb[i])
+        yield batch.select([0, 2]).filter(pa.array(kept))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), sets, "rep bigint, shingles array<bigint>, bits binary")
+    rows = _joined(pairs, bits).select("a", "na", "b", "nb", "x", "y")
+    return map_arrow(rows, compare, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets reach the threshold; a set is sent once per pair."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+def verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets reach the threshold."""
+    sets = written(_of_sets(docs, _ends(pairs), length, bitmaps=False), "sets")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    union = F.size("x") + F.size("y") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * union).select("a", "b").distinct()
+    union = F.col("na") + F.col("nb") - both
+    return _joined(pairs, sets).filter(100 * both >= percent * union).select("a", "b").distinct()
 
 
 def _pair(x, y) -> list:
@@ -242,7 +275,7 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     hubs = (
         postings.join(weight, "rep")
         .groupBy("key")
-        .agg(F.max(F.struct("weight", F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("top"))
+        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("order"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("top"))
         .select("key", "top.hub", "top.hub_n")
     )
     small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
@@ -257,7 +290,7 @@ def _hamming_pairs(group: list[pa.RecordBatch], percent: int) -> Iterator[tuple[
     block = rows.column("block").to_numpy()
     order = np.argsort(n, kind="stable")
     rep, n, label, block = rep[order], n[order], label[order], block[order]
-    bits = [np.frombuffer(b.as_py(), dtype=np.uint8) for b in rows.column("bits").take(pa.array(order))]
+    bits = [np.frombuffer(b.as_py(), dtype=np.uint8) for b in rows.column("set").take(pa.array(order))]
     one_block = side_i[0] == side_j[0]
     width = np.array([len(b) for b in bits])
     for k in range(len(rep) - 1):
@@ -287,7 +320,7 @@ def _fold(packed: np.ndarray, half: int) -> np.ndarray:
     return packed[:, :half] ^ packed[:, half:]
 
 
-def _rest(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(postings: DataFrame, labels: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that share an entry and that the bitmaps do not rule out."""
     marked = postings.join(labels, postings["rep"] == labels["node"], "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("label")
@@ -303,7 +336,7 @@ def _rest(postings: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     squares = dealt.select("key", "rep", "n", "label", "block", other.alias("o")).select(
         "key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "rep", "n", "label", "block"
     )
-    rows = squares.join(sets.select("rep", "bits"), "rep").select("key", "i", "j", "rep", "n", "label", "block", "bits")
+    rows = squares.join(bits.select("rep", "set"), "rep").select("key", "i", "j", "rep", "n", "label", "block", "set")
 
     def compare(batches):
         for group in sorted_groups(batches, 3):
@@ -337,11 +370,13 @@ def ngram_jaccard_join(
     entries = reps.select(F.explode("first.keys").alias("key"), "n", F.col("first.doc_id").alias("rep"))
     postings = written(_shared(entries, percent), "postings")
 
-    known = postings.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(_sets(docs.join(known, "doc_id"), length), "sets")
-    stars = written(verified(_stars(postings, percent), sets, percent), "stars")
+    known = postings.select("rep").distinct()
+    parity = written(_of_sets(docs, known, length, bitmaps=True), "bits")
+    near = written(possible(_stars(postings, percent), parity, percent), "near")
+    stars = written(verified(docs, near, length, percent), "stars")
     groups = components(stars)
-    rest = written(verified(_rest(postings, groups, sets, percent), sets, percent), "rest")
+    near = written(_rest(postings, groups, parity, percent), "near")
+    rest = written(verified(docs, near, length, percent), "rest")
     links = stars.union(rest)
     if not rest.isEmpty():
         groups = components(links)

@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trajspark.session import shared_path
 
@@ -67,3 +69,53 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+FILTER_BITS = 1 << 26
+_BITMAP = 1 << 15
+
+
+class IdFilter:
+    """A bitmap of fixed size (8 MB) that holds every id of a table, and some others.
+
+    It spares most rows of a large table the way through a shuffle; a join removes the rest.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        cell = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+        maps = (
+            ids.select((cell / _BITMAP).cast("int").alias("bucket"), (cell % _BITMAP).alias("bit"))
+            .groupBy("bucket")
+            .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        )
+        whole = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+        size = _BITMAP // 8
+        for row in maps.collect():
+            whole[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+        self.bits = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @staticmethod
+    def cell(column: str):
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    def keep(self, cells: pa.Array) -> pa.Array:
+        """Which rows may be in the table, by their ``cell``."""
+        at = cells.to_numpy()
+        return pa.array((self.bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+
+def split(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may have their ``column`` in ``ids``, and those that surely have not."""
+    wanted = IdFilter(ids, column)
+    marked = df.withColumn("_cell", IdFilter.cell(column))
+    schema = df.schema
+
+    def part(inside: bool) -> DataFrame:
+        def take(batch):
+            kept = wanted.keep(batch.column(batch.num_columns - 1))
+            kept = kept if inside else pa.compute.invert(kept)
+            yield batch.filter(kept).select(list(range(batch.num_columns - 1)))
+
+        return map_arrow(marked, take, schema)
+
+    return part(True), part(False)

@@ -25,7 +25,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C13
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"base": np.ones(1, dtype=U64), "inverse": np.ones(1, dtype=U64)}
+_cached = {"base": np.ones(1, dtype=U64), "inverse": np.ones(1, dtype=U64)}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,15 +40,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 
 
-def _power(kind: str, count: int) -> np.ndarray:
+def powers(kind: str, count: int) -> np.ndarray:
     """``base ** i`` for i below ``count``, modulo 2**64."""
-    have = _powers[kind]
+    have = _cached[kind]
     if len(have) < count:
         factor = _BASE if kind == "base" else _INVERSE
         have = np.full(max(count, 2 * len(have)), factor, dtype=U64)
         have[0] = 1
         np.cumprod(have, out=have)
-        _powers[kind] = have
+        _cached[kind] = have
     return have[:count]
 
 
@@ -111,8 +111,8 @@ def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower:
     """A 64-bit hash of the bytes of each stretch ``[start, end)``; ``lower`` ignores the case of A to Z."""
     values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
     sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(values[data] * _power("base", len(data)), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power("inverse", len(data) + 1)[start]
+    np.cumsum(values[data] * powers("base", len(data)), out=sums[1:])
+    h = (sums[end] - sums[start]) * powers("inverse", len(data) + 1)[start]
     return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
@@ -120,8 +120,8 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` consecutive words, by its first word (fewer at the end)."""
     count = max(0, len(words) - length + 1)
     sums = np.zeros(len(words) + 1, dtype=U64)
-    np.cumsum(words * _power("base", len(words)), out=sums[1:])
-    return mix((sums[length:] - sums[:-length])[:count] * _power("inverse", len(words) + 1)[:count])
+    np.cumsum(words * powers("base", len(words)), out=sums[1:])
+    return mix((sums[length:] - sums[:-length])[:count] * powers("inverse", len(words) + 1)[:count])
 
 
 def rows_between(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
