@@ -91,9 +91,9 @@ class Words:
         return np.diff(self.bounds)
 
 
-def find_words(block: Block) -> Words:
+def find_words(block: Block, separators: np.ndarray = SEPARATORS) -> Words:
     """All maximal runs of bytes that are not separators, within their documents."""
-    inside = ~SEPARATORS[block.data]
+    inside = ~separators[block.data]
     if not inside.any():
         none = np.zeros(0, dtype=np.int64)
         return Words(none, none, np.zeros(len(block.offsets), dtype=np.int64))
