@@ -142,8 +142,8 @@ def index_keys(values: np.ndarray, common: np.ndarray, percent: int) -> np.ndarr
 
 
 def parity_bits(values: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set, with 8 to 16 bits for each shingle, as bytes of 0 and 1 packed."""
-    size = max(64, 1 << (8 * len(values) - 1).bit_length())
+    """Parity bitmap of a set, with 2 to 4 bits for each shingle."""
+    size = max(64, 1 << (2 * len(values) - 1).bit_length())
     return np.packbits(np.bincount((values & U64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1)
 
 
