@@ -1,6 +1,50 @@
 """SQL (DuckDB) of the queries that SQL can express."""
 
+
+
+def _level(above: str, here: str, weight: str, source: str, out: str) -> str:
+    """One level of budgeting: ``source`` has the leaves with ``room`` and ``target``."""
+    family = f"PARTITION BY {above}" if above else ""
+    return f"""
+{out}n AS (SELECT {here}, CAST(sum(room) AS HUGEINT) AS room, min(target) AS given, CAST(any_value({weight}) AS HUGEINT) AS w
+  FROM {source} GROUP BY {here}),
+{out}f AS (SELECT *, room * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (given - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS saturated
+  FROM {out}n WINDOW o AS ({family} ORDER BY CAST(room AS DOUBLE) / w, {here.split(", ")[-1]})),
+{out}s AS (SELECT {here}, CASE WHEN saturated THEN room
+    ELSE (given - coalesce(sum(CASE WHEN saturated THEN room END) OVER ({family}), 0)) * w
+      // sum(CASE WHEN NOT saturated THEN w END) OVER ({family}) END AS target FROM {out}f),
+{out} AS (SELECT l.* EXCLUDE (target), s.target FROM {source} l JOIN {out}s s USING ({here}))"""
+
+
+def mixing_sql(docs: str, percent: int, epochs: int, seed: int) -> str:
+    """The mixture as a list of WITH tables that ends in ``mixed`` (doc_id, domain, lang, source, t, epoch, k)."""
+    return (
+        rf"""
+b AS (SELECT *, coalesce(CAST(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 3 AS VARCHAR), '') AS k0,
+    coalesce(lang, '') AS k1, coalesce(source, '') AS k2,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '')) AS t FROM {docs}),
+l AS (SELECT k0, k1, k2, sum(t) AS tokens, sum(t) * {epochs} AS room FROM b GROUP BY ALL),
+l0 AS (SELECT *, (SELECT least(sum(tokens) * {percent} // 100, sum(tokens) * {epochs}) FROM l) AS target FROM l),"""
+        + _level("", "k0", "1", "l0", "l1")
+        + ","
+        + _level("k0", "k0, k1", "CASE k1 WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END", "l1", "l2")
+        + ","
+        + _level("k0, k1", "k0, k1, k2", "CASE k2 WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END", "l2", "l3")
+        + rf""",
+p AS (SELECT *, CASE WHEN tokens > 0 THEN target // tokens ELSE 0 END AS whole FROM l3),
+q AS (SELECT b.*, whole, target - whole * tokens AS rest,
+    CAST('0x' || substr(md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM b JOIN p USING (k0, k1, k2)),
+c AS (SELECT *, sum(t) OVER (PARTITION BY k0, k1, k2 ORDER BY h, doc_id, t ROWS UNBOUNDED PRECEDING) AS upto FROM q),
+mixed AS (SELECT *, CAST(unnest(range(0, CAST(whole + CASE WHEN whole < {epochs} AND upto <= rest THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) AS epoch FROM c)"""
+    )
+
+
 SQL = {
+    "op10_mixing": "WITH "
+    + mixing_sql("documents", 60, 2, 11)
+    + " SELECT doc_id, lang, source, CAST(t AS BIGINT) AS n_tokens, epoch FROM mixed",
     "op2_quality": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import ngram_join, oracles, packing, quality, secrets, substring_dedup, toxicity
+from trajspark.llm import mixing, neighbours, ngram_join, oracles, packing, quality, secrets, substring_dedup, toxicity
 from trajspark.llm.tables import table
 
 
@@ -41,6 +41,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,8 +56,25 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Weights of the mixture; the levels are domain, language and source.
+MIX_WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 3, "src1": 2}}
+MIX_PERCENT = 60
+
+
+def mix_levels() -> dict:
+    """The tree of the documents; the number of a source stands for its domain."""
+    number = F.regexp_extract("source", "([0-9]+)", 1).try_cast("bigint")
+    return {"domain": (number % 3).cast("string"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_PERCENT)
+    return mixed.select("doc_id", "lang", "source", "n_tokens", "epoch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_substring_dedup, op6_secrets, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_substring_dedup, op6_secrets, op7_neighbours, op8_toxicity, op9_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
