@@ -23,7 +23,8 @@ def mixing_sql(docs: str, percent: int, epochs: int, seed: int) -> str:
         rf"""
 b AS (SELECT *, coalesce(CAST(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) % 3 AS VARCHAR), '') AS k0,
     coalesce(lang, '') AS k1, coalesce(source, '') AS k2,
-    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '')) AS t FROM {docs}),
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '')) AS t FROM {docs}),
 l AS (SELECT k0, k1, k2, sum(t) AS tokens, sum(t) * {epochs} AS room FROM b GROUP BY ALL),
 l0 AS (SELECT *, (SELECT least(sum(tokens) * {percent} // 100, sum(tokens) * {epochs}) FROM l) AS target FROM l),"""
         + _level("", "k0", "1", "l0", "l1")
@@ -42,6 +43,21 @@ mixed AS (SELECT *, CAST(unnest(range(0, CAST(whole + CASE WHEN whole < {epochs}
 
 
 SQL = {
+    "op5_url_filter": r"""
+WITH e(entry, verdict, is_rule) AS (VALUES ('com/', 'allow', true), ('example.com/en/', 'block', true),
+  ('www.example.com/en/', 'allow', true), ('net/es/', 'block', true), ('net/fr/', 'block', true),
+  ('example.org/es/', 'block', false), ('example.org/fr/', 'block', false), ('blog.example.org/', 'allow', false)),
+x AS (SELECT *, split_part(entry, '/', 1) AS eh, substr(entry, strpos(entry, '/')) AS ep FROM e),
+a AS (SELECT row_number() OVER () AS r, page_id,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+p AS (SELECT r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+f AS (SELECT r, is_rule, max_by(entry, length(entry) * 1000 + length(eh)) AS entry, max_by(verdict, length(entry) * 1000 + length(eh)) AS verdict
+  FROM p JOIN x ON (host = eh OR ends_with(host, '.' || eh)) AND starts_with(path, ep) GROUP BY ALL)
+SELECT page_id, host, path, u.entry AS rule, coalesce(u.verdict, l.verdict, 'allow') AS verdict
+FROM p LEFT JOIN (FROM f WHERE is_rule) u USING (r) LEFT JOIN (FROM f WHERE NOT is_rule) l USING (r)
+""",
     "op10_mixing": "WITH "
     + mixing_sql("documents", 60, 2, 11)
     + " SELECT doc_id, lang, source, CAST(t AS BIGINT) AS n_tokens, epoch FROM mixed",

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm import mixing, neighbours, ngram_join, oracles, packing, quality, secrets, substring_dedup, toxicity
+from trajspark.llm import (
+    mixing,
+    neighbours,
+    ngram_join,
+    oracles,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from trajspark.llm.tables import table
 
 
@@ -24,6 +36,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), token_counts.mask_personal_data)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -74,7 +94,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_substring_dedup, op6_secrets, op7_neighbours, op8_toxicity, op9_packing, op10_mixing)}
+    found = (
+        op1_ngram_join,
+        op2_quality,
+        op3_substring_dedup,
+        op4_token_counts,
+        op5_url_filter,
+        op6_secrets,
+        op7_neighbours,
+        op8_toxicity,
+        op9_packing,
+        op10_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
