@@ -1,5 +1,7 @@
 """SQL (DuckDB) of the queries that SQL can express."""
 
+from trajspark.llm.url_filter import LISTED, RULES
+
 
 
 def _level(above: str, here: str, weight: str, source: str, out: str) -> str:
@@ -42,11 +44,13 @@ mixed AS (SELECT *, CAST(unnest(range(0, CAST(whole + CASE WHEN whole < {epochs}
     )
 
 
+_ENTRIES = ", ".join(
+    [f"('{e}', '{v}', true)" for e, v in RULES] + [f"('{e}', '{v}', false)" for e, v in LISTED]
+)
+
 SQL = {
-    "op5_url_filter": r"""
-WITH e(entry, verdict, is_rule) AS (VALUES ('com/', 'allow', true), ('example.com/en/', 'block', true),
-  ('www.example.com/en/', 'allow', true), ('net/es/', 'block', true), ('net/fr/', 'block', true),
-  ('example.org/es/', 'block', false), ('example.org/fr/', 'block', false), ('blog.example.org/', 'allow', false)),
+    "op5_url_filter": f"WITH e(entry, verdict, is_rule) AS (VALUES {_ENTRIES}),"
+    + r"""
 x AS (SELECT *, split_part(entry, '/', 1) AS eh, substr(entry, strpos(entry, '/')) AS ep FROM e),
 a AS (SELECT row_number() OVER () AS r, page_id,
   CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

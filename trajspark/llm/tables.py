@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """Apply ``function`` to every Arrow batch of ``df``."""
 
     def run(batches):
@@ -104,9 +104,9 @@ class IdFilter:
         return pa.array((self.bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
 
 
-def split(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` that may have their ``column`` in ``ids``, and those that surely have not."""
-    wanted = IdFilter(ids, column)
+def split(df: DataFrame, ids: DataFrame, column: str, named: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may have their ``column`` in ``ids`` (there ``named``), and those that surely have not."""
+    wanted = IdFilter(ids, named or column)
     marked = df.withColumn("_cell", IdFilter.cell(column))
     schema = df.schema
 

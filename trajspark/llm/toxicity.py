@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajspark.llm import words as W
 from trajspark.llm.tables import lists, map_arrow
@@ -180,30 +181,38 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Score every document: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
-
-    One row for each row of ``docs``. A null or empty text scores what a document without
-    any term scores. A null ``doc_id`` is scored and not held out. Labels that repeat count
-    once, as toxic if any is; null labels are left out. Without labels every score is the
-    same and below 0.5. Other columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(docs, labels, sample)
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` with ``held_out``, ``score`` and ``predicted``; columns of these names are replaced."""
+    docs = docs.drop("held_out", "score", "predicted")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = train(plain, labels, sample)
     place = np.full(1 << HASH_BITS, -1, dtype=np.int32)
     place[model.cells] = np.arange(len(model.cells))
     shared = docs.sparkSession.sparkContext.broadcast((model, place))
+    at = docs.columns.index("text")
 
     def score(batch):
         model, place = shared.value
-        for block in W.blocks(batch.column(1)):
+        parts = []
+        for block in W.blocks(batch.column(at)):
             doc, cell = _cells(block)
             hit = place[cell] >= 0
             doc, cell = _distinct(doc[hit], cell[hit])
-            scores = model.scores(doc, place[cell], block.last - block.first)
-            rows = batch.slice(block.first, block.last - block.first)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(scores)], ["doc_id", "held_out", "score"])
+            parts.append(model.scores(doc, place[cell], block.last - block.first))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], [*batch.schema.names, "score"])
+
+    rows = docs.withColumn("held_out", held_out("doc_id"))
+    out = map_arrow(rows, score, T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    rows = docs.select("doc_id", "text", held_out("doc_id").alias("held_out"))
-    scored = map_arrow(rows, score, "doc_id bigint, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Score every document: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.5).
+
+    One row for each row of ``docs``. A null or empty text scores what a document without
+    any term scores. A null ``doc_id`` is scored and not held out. Labels that repeat count
+    once, as toxic if any is; null labels are left out. Without labels every score is the
+    same and below 0.5. Other columns are ignored.
+    """
+    found = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, sample)
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", "score", "predicted")

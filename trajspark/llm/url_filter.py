@@ -32,8 +32,9 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Entries that decide where no rule fits: sections of a site that are left out.
-LISTED = (("example.org/es/", "block"), ("example.org/fr/", "block"), ("blog.example.org/", "allow"))
+#: Entries that decide where no rule fits: advertising and spam, as the names of the sites tell.
+SPAM_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED = tuple((f"{name}.example.{top}/", "block") for name in SPAM_NAMES for top in ("com", "net", "org"))
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
