@@ -118,8 +118,10 @@ def test_numbers_follow_first_clone_and_custom_order(spark):
         assert [moved[f"c0000{i}"] for i in range(3)] == ["Traj 2", "Traj 3", "Traj 1"]
         kept = {r.clone_id: r.k for r in method(units, 4, 3, custom_order=[1, 2]).collect()}
         assert kept == labels
-    relabelled = {r.clone_id: r.k for r in cluster.relabel(cluster.ward_labels(units, 4, 3), [3, 1, 2]).collect()}
+    relabelled = {r.clone_id: r.k for r in cluster.relabel(cluster.ward_labels(units, 4, 3), [3, 1, 2], 3).collect()}
     assert relabelled["c00000"] == "Traj 2" and set(relabelled) == set(labels)
+    incomplete = {r.clone_id: r.k for r in cluster.relabel(cluster.ward_labels(units, 4, 3), [3, 1], 3).collect()}
+    assert incomplete == labels
     principal = groups(cluster.principal_labels(units, 4, 3))
     assert principal == {frozenset(range(i, 12, 3)) for i in range(3)}
     sizes = {r.k: r.n for r in cluster.trajectory_sizes(cluster.ward_labels(units, 4, 3)).collect()}
@@ -161,46 +163,55 @@ def test_principal_axes_match_the_standardised_matrix(spark):
     np.testing.assert_allclose(placed[:, 0], axis, atol=1e-8)
 
 
-def within(x, found):
-    m = explicit_correlation(x, "pearson")
-    return sum(((m[sorted(g)] - m[sorted(g)].mean(axis=0)) ** 2).sum() for g in found)
+def test_a_clone_keeps_its_cell_among_any_number(spark):
+    x = random_profiles(25_000, seed=5)
+    size = cluster.cell_size(4, cluster.WARD_CELLS)
+
+    def cells(rows):
+        units = vectors.unit_vectors(as_matrix(spark, rows), 4)
+        placed = cluster.place(units, vectors.row_projection(units, 4), size)
+        return {r.clone_id: tuple(r.cell) for r in placed.select("clone_id", "cell").collect()}
+
+    few, many = cells(x[:500]), cells(x)
+    assert len(few) == 500 and all(many[c] == cell for c, cell in few.items())
 
 
-def test_grid_of_points_stays_close_to_exact(spark):
-    x = random_profiles(2000, seed=5)
+@pytest.mark.parametrize("method", ("ward", "medoids"))
+def test_many_clones_take_the_labels_of_their_cells(spark, method):
+    x = random_profiles(25_000, seed=6)
     units = vectors.unit_vectors(as_matrix(spark, x), 4).cache()
-    exact = groups(cluster.ward_labels(units, 4, 6))
-    reduced = groups(cluster.ward_labels(units, 4, 6, max_points=300))
-    assert sum(len(g) for g in reduced) == len(x) and len(reduced) == 6
-    assert within(x, reduced) <= 1.05 * within(x, exact)
-    for method in (cluster.medoid_labels, cluster.principal_labels):
-        coarse = groups(method(units, 4, 6, max_points=300))
-        assert sum(len(g) for g in coarse) == len(x)
-        assert within(x, coarse) <= 1.25 * within(x, exact)
+    size = 0.2
+    projection = vectors.row_projection(units, 4)
+    rows = cluster.place(units, projection).collect()
+    v = np.array([r.v for r in rows])
+    u = np.array([r.u for r in units.filter("u is not null").collect()])
+    order_u = np.argsort([r.clone_id for r in units.filter("u is not null").select("clone_id").collect()])
+    order_v = np.argsort([r.clone_id for r in rows])
+    v, u = v[order_v], u[order_u]
+    _, cell = np.unique(np.floor((u + 1) / size).astype(int), axis=0, return_inverse=True)
+    cell = cell.ravel()
+    weight = np.bincount(cell).astype(float)
+    mean = np.stack([np.bincount(cell, weights=v[:, d]) for d in range(v.shape[1])], axis=1) / weight[:, None]
+    if method == "ward":
+        label = partition.ward(mean, weight, 6)
+        found = groups(cluster.ward_labels(units, 4, 6, resolution=size))
+    else:
+        label = partition.nearest_centre(mean, mean[partition.medoids(mean, weight, 6)])
+        found = groups(cluster.medoid_labels(units, 4, 6, resolution=size))
+    ids = np.array(sorted(r.clone_id for r in rows))
+    want = {frozenset(int(c[1:]) for c in ids[label[cell] == k]) for k in np.unique(label)}
+    assert found == want
     units.unpersist()
 
 
-def test_grid_result_does_not_depend_on_partitions(spark):
+def test_result_does_not_depend_on_partitions(spark):
     x = random_profiles(400, seed=6)
     units = vectors.unit_vectors(as_matrix(spark, x), 4)
-    once = sorted(cluster.ward_labels(units.repartition(2), 4, 5, max_points=60).collect())
-    again = sorted(cluster.ward_labels(units.repartition(9), 4, 5, max_points=60).collect())
+    once = sorted(cluster.ward_labels(units.repartition(2), 4, 5, resolution=0.3).collect())
+    again = sorted(cluster.ward_labels(units.repartition(9), 4, 5, resolution=0.3).collect())
     assert once == again
 
 
-def test_grid_counts_every_clone(spark):
-    x = random_profiles(500, seed=7)
-    units = vectors.unit_vectors(as_matrix(spark, x), 4)
-    projection = vectors.row_projection(units, 4)
-    placed = cluster.place(units, projection)
-    for real in (False, True):
-        found = cluster.group_points(placed, projection.clones, projection.width, 40, real_points=real)
-        assert not found.exact and len(found.points) <= 40 and found.weights.sum() == 500
-        if real:
-            everything = {tuple(r.v) for r in placed.collect()}
-            assert all(tuple(p) in everything for p in found.points)
-
-
 def test_fewer_clones_than_clusters(spark):
     units = vectors.unit_vectors(as_matrix(spark, [[0.0, 1, 2, 3], [3.0, 1, 0, 0]]), 4)
     for method in ("hclust", "pam", "hcpc"):
@@ -252,3 +263,12 @@ def test_weighted_ward_equals_repeated_points():
     many = partition.ward(points[repeated], np.ones(len(repeated)), 5)
     pairs = {(few[i], c) for i, c in zip(repeated, many)}
     assert len(pairs) == 5
+
+
+def test_anchors_of_any_number(spark):
+    x = random_profiles(1500, seed=8)
+    units = vectors.unit_vectors(as_matrix(spark, x), 4)
+    got = vectors.anchor_correlations(units, units.select("clone_id"), 4)
+    assert got.count() == 1500 * 1500
+    row = got.filter("clone_id = 'c00007' and anchor_id = 'c01400'").first()
+    assert row.cor == pytest.approx(np.corrcoef(x[7], x[1400])[0, 1])

@@ -169,3 +169,9 @@ def test_treatment_display(spark):
         "Combination": "\nCombination",
         "xaPD1": "xaPD1",
     }
+
+
+def test_contingency_keeps_levels_that_are_not_declared(spark):
+    cells = spark.createDataFrame([("p", 0), ("p", 12), ("q", 0), ("q", None)], "patient_alias string, timepoint int")
+    got = {(r.patient_alias, r.timepoint): r.n for r in qc.sample_counts(cells, (0, 3)).collect()}
+    assert got == {("p", 0): 1, ("p", 3): 0, ("p", 12): 1, ("q", 0): 1, ("q", 3): 0, ("q", 12): 0}

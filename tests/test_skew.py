@@ -52,3 +52,12 @@ def test_sample_equals_window(fact, size):
     smallest = min(r["count"] for r in cells.groupBy("k").count().collect())
     want = cells.withColumn("p", place).filter(F.col("p") <= (size or smallest)).drop("p")
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_sample_with_repeated_barcodes(spark):
+    rows = [("a", "b1", i) for i in range(5)] + [("a", "b2", 9), ("b", "b1", 1), ("b", "b1", 1), ("b", "b1", 1)]
+    cells = spark.createDataFrame(rows, "k string, barcode string, v int")
+    for size in (1, 2, 3):
+        got = ordering.take_per_group(cells.repartition(3), ["k"], size, seed=5)
+        counts = {r["k"]: r["count"] for r in got.groupBy("k").count().collect()}
+        assert counts == {"a": size, "b": size}

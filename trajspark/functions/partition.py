@@ -1,7 +1,7 @@
 """Clustering of a bounded number of weighted points: the last step, on the driver.
 
-The points stand for all clones. Their number is limited by the caller, whatever the
-number of clones is.
+The points are cells that stand for all clones. Their number is bounded by the size of a
+cell, whatever the number of clones is.
 """
 
 from __future__ import annotations
@@ -66,31 +66,51 @@ def ward(points: np.ndarray, weights: np.ndarray, clusters: int) -> np.ndarray:
     return np.unique(roots, return_inverse=True)[1]
 
 
-def medoids(points: np.ndarray, weights: np.ndarray, clusters: int) -> np.ndarray:
+def _distances(points: np.ndarray, rows: slice) -> np.ndarray:
+    """Distances from some of the points to all."""
+    out = np.zeros((len(points[rows]), len(points)))
+    for d in range(points.shape[1]):
+        out += (points[rows, d][:, None] - points[None, :, d]) ** 2
+    return np.sqrt(out)
+
+
+def medoids(points: np.ndarray, weights: np.ndarray, clusters: int, block: int = 256) -> np.ndarray:
     """Indices of the points that partition all points around medoids at least cost.
 
     Medoids are added greedily, then the best exchange of a medoid and another point is
-    made until none lowers the weighted sum of distances.
+    made until none lowers the weighted sum of distances. Distances are computed anew in
+    blocks of rows, so memory grows with the points, not with their pairs.
     """
-    distance = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-    count = min(clusters, len(points))
-    chosen = [int(np.argmin(weights @ distance))]
+    total = len(points)
+    count = min(clusters, total)
+    blocks = [slice(i, i + block) for i in range(0, total, block)]
+    nearest = np.full(total, np.inf)
+    chosen: list[int] = []
     while len(chosen) < count:
-        nearest = distance[:, chosen].min(axis=1)
-        gain = weights @ np.maximum(nearest[:, None] - distance, 0)
-        gain[chosen] = -1
+        gain = np.zeros(total)
+        for rows in blocks:
+            distance = _distances(points, rows)
+            if chosen:
+                gain += weights[rows] @ np.maximum(nearest[rows, None] - distance, 0)
+            else:
+                gain -= weights[rows] @ distance
+        gain[chosen] = -np.inf
         chosen.append(int(np.argmax(gain)))
-    while len(points) > count:
-        to_chosen = distance[:, chosen]
+        nearest = np.minimum(nearest, _distances(points, slice(chosen[-1], chosen[-1] + 1))[0])
+    while total > count:
+        to_chosen = np.stack([_distances(points, slice(c, c + 1))[0] for c in chosen], axis=1)
         order = np.argsort(to_chosen, axis=1, kind="stable")
-        rows = np.arange(len(points))
-        nearest = to_chosen[rows, order[:, 0]]
-        second = to_chosen[rows, order[:, 1]] if count > 1 else np.full(len(points), np.inf)
-        closer = np.minimum(distance - nearest[:, None], 0)
-        after_loss = np.minimum(distance, second[:, None]) - nearest[:, None]
-        owner = np.zeros((count, len(points)))
-        owner[order[:, 0], rows] = weights
-        change = (weights @ closer)[None, :] + owner @ (after_loss - closer)
+        rows_ = np.arange(total)
+        nearest = to_chosen[rows_, order[:, 0]]
+        second = to_chosen[rows_, order[:, 1]] if count > 1 else np.full(total, np.inf)
+        owner = np.zeros((count, total))
+        owner[order[:, 0], rows_] = weights
+        change = np.zeros((count, total))
+        for rows in blocks:
+            distance = _distances(points, rows)
+            closer = np.minimum(distance - nearest[rows, None], 0)
+            after_loss = np.minimum(distance, second[rows, None]) - nearest[rows, None]
+            change += (weights[rows] @ closer)[None, :] + owner[:, rows] @ (after_loss - closer)
         change[:, chosen] = np.inf
         out, new = np.unravel_index(np.argmin(change), change.shape)
         if change[out, new] >= -1e-9 * max(1.0, float(weights @ nearest)):
@@ -107,4 +127,4 @@ def weighted_centres(points: np.ndarray, weights: np.ndarray, cluster: np.ndarra
 
 
 def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1).argmin(axis=1)

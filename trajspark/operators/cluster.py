@@ -1,10 +1,12 @@
 """Trajectory labels: Ward, medoids, principal components with Ward, or the peak timepoint.
 
 All methods work on the vectors ``v`` of ``trajspark.operators.vectors``, whose distances
-are those between rows of the correlation matrix. Clones are first grouped by equal
-``v``. If that leaves at most ``max_points`` groups, the result is exact. If not, a grid
-groups near ``v`` until it does: one aggregate over the clones and a few over the
-shrinking cells. Every clone counts through the weight of its group, and is labelled.
+are those between rows of the correlation matrix. Clones are first put into cells of their
+unit vectors ``u``: cubes with edges of ``resolution``, at places that do not depend on the
+data. A cell stands for its clones by their mean ``v`` and their number; cells are
+clustered, and every clone takes the label of its cell. The rule is the same at every
+size. How many cells there can be follows from the resolution and the number of
+timepoints, so only a bounded table reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,127 +16,72 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.functions.names import trajectory_number
 from trajspark.functions.partition import medoids, nearest_centre, ward, weighted_centres
-from trajspark.functions.slots import label_of, largest, slots, smallest, squared_distance, with_slots
+from trajspark.functions.slots import label_of, largest, slots
 from trajspark.operators.joins import lookup_join
 from trajspark.operators.vectors import Projection, defined, principal_projection, row_projection
 from trajspark.schema import CLONE, K, N_CLUSTERS, OTHER, TRAJ_PREFIX, require
-from trajspark.session import materialize
 
-MAX_POINTS = 20_000
-MAX_MEDOID_POINTS = 2_000
+#: Cells on the sphere of unit vectors that the default resolutions aim at.
+WARD_CELLS = 10_000
+MEDOID_CELLS = 4_000
 CONSOLIDATION_PASSES = 10
 METHODS = ("hclust", "pam", "hcpc", "absolute")
 
 
-@dataclass(frozen=True)
-class Groups:
-    """Weighted points that stand for all clones, and how a clone finds its point.
+def cell_size(timepoints: int, cells: int) -> float:
+    """Edge of a cell: as many as ``cells`` cover the sphere of centred unit vectors.
 
-    ``firsts`` holds the first clone of every point.
+    It depends on the number of timepoints only, never on the clones.
     """
+    d = timepoints - 2
+    if d < 1:
+        return 1.0
+    area = 2 * math.pi ** ((d + 1) / 2) / math.gamma((d + 1) / 2)
+    return min(1.0, (area / cells) ** (1 / d))
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Weighted cells that stand for all clones; ``firsts`` holds the first clone of each."""
 
     points: np.ndarray
     weights: np.ndarray
     firsts: list[str]
-    exact: bool
-    key: Column
     keys: list
 
     def assign(self, placed: DataFrame, cluster: np.ndarray) -> DataFrame:
-        """Clone and cluster, through the clone's group; at most ``max_points`` rows are broadcast."""
-        key_type = placed.select(self.key.alias("key")).schema["key"].dataType.simpleString()
+        """Clone and cluster, through the clone's cell; a row per cell is broadcast."""
         rows = [(key, int(c)) for key, c in zip(self.keys, cluster)]
-        lookup = placed.sparkSession.createDataFrame(rows, f"_key {key_type}, cluster int")
-        return placed.withColumn("_key", self.key).join(F.broadcast(lookup), "_key").select(CLONE, "v", "cluster")
-
+        lookup = placed.sparkSession.createDataFrame(rows, "cell array<int>, cluster int")
+        return placed.join(F.broadcast(lookup), "cell").select(CLONE, "v", "cluster")
 
-def place(units: DataFrame, projection: Projection) -> DataFrame:
-    """Clones with defined correlations and their ``v``."""
-    return defined(units).select(CLONE, F.array(*projection.columns()).alias("v"))
 
+def place(units: DataFrame, projection: Projection, resolution: float = 1e-6) -> DataFrame:
+    """Clones with defined correlations, their ``v`` and their ``cell``."""
+    u = slots("u", projection.matrix.shape[0])
+    cell = F.array(*[F.floor((c + F.lit(1.0)) / F.lit(resolution)).cast("int") for c in u])
+    return defined(units).select(CLONE, F.array(*projection.columns()).alias("v"), cell.alias("cell"))
 
-def group_points(
-    placed: DataFrame, clones: int, width: int, max_points: int, real_points: bool = False
-) -> Groups:
-    """At most ``max_points`` weighted points for the ``clones`` rows of ``placed``.
 
-    ``real_points`` makes each point the ``v`` of a clone instead of a mean.
-    """
-    v = slots("v", width)
-    distinct = placed.groupBy("v").agg(F.count(F.lit(1)).alias("w"), F.min(CLONE).alias("first"))
-    few = clones <= max_points
-    if not few:
-        distinct = materialize(distinct)
-        few = distinct.count() <= max_points
-    if few:
-        rows = sorted(distinct.collect(), key=lambda r: r.first)
-        return Groups(
-            np.array([r.v for r in rows], dtype=float).reshape(len(rows), width),
-            np.array([r.w for r in rows], dtype=float),
-            [r.first for r in rows],
-            True,
-            F.col("v"),
-            [r.v for r in rows],
-        )
-
-    bounds = distinct.agg(
-        *[F.min(c).alias(f"lo{d}") for d, c in enumerate(v)], *[F.max(c).alias(f"hi{d}") for d, c in enumerate(v)]
-    ).first()
-    low = [bounds[f"lo{d}"] for d in range(width)]
-    extent = max(bounds[f"hi{d}"] - bounds[f"lo{d}"] for d in range(width))
-    bits = min(24, 3 + math.ceil(math.log2(max_points) / max(1, width - 1)))
-    step = extent / 2**bits
-    fine = [F.floor((c - F.lit(low[d])) / F.lit(step)).cast("int") for d, c in enumerate(v)]
-
-    cells = materialize(
-        distinct.withColumn("cell", F.array(*fine))
-        .groupBy("cell")
-        .agg(
-            F.sum("w").alias("w"),
-            F.array(*[F.sum(c * F.col("w")) for c in v]).alias("s"),
-            F.min("v").alias("member"),
-            F.min("first").alias("first"),
-        )
+def group_points(placed: DataFrame, width: int) -> Groups:
+    """One weighted point for each cell of ``placed``: the mean of its clones."""
+    cells = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("w"),
+        F.array(*[F.avg(c) for c in slots("v", width)]).alias("mean"),
+        F.min(CLONE).alias("first"),
     )
-    # merge neighbouring cells: along all axes while there are far too many, then along
-    # one axis at a time, so that no step gives up more detail than it must
-    halved, axis = [0] * width, width - 1
-    count = cells.count()
-    while count > max_points:
-        axes = range(width) if count > max_points * 2**width else [axis]
-        for d in axes:
-            halved[d] += 1
-        axis = (axis - 1) % width
-        coarser = [F.shiftright(c, 1) if d in axes else c for d, c in enumerate(slots("cell", width))]
-        cells = materialize(
-            cells.withColumn("cell", F.array(*coarser))
-            .groupBy("cell")
-            .agg(
-                F.sum("w").alias("w"),
-                F.array(*[F.sum(c) for c in slots("s", width)]).alias("s"),
-                F.min("member").alias("member"),
-                F.min("first").alias("first"),
-            )
-        )
-        count = cells.count()
     rows = sorted(cells.collect(), key=lambda r: r.first)
-    weights = np.array([r.w for r in rows], dtype=float)
-    means = np.array([r.s for r in rows], dtype=float) / weights[:, None]
-    points = np.array([r.member for r in rows], dtype=float) if real_points else means
-    key = F.array(*[F.shiftright(c, h) for c, h in zip(fine, halved)])
-    return Groups(points, weights, [r.first for r in rows], False, key, [r.cell for r in rows])
-
-
-def assign_nearest(placed: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Clone and the index of its nearest centre."""
-    spread, v = with_slots(placed, "_v", slots("v", centres.shape[1]))
-    spread, distances = with_slots(spread, "_d", [squared_distance(v, c) for c in centres])
-    return spread.select(CLONE, "v", label_of(distances, range(len(centres)), smallest).alias("cluster"))
+    return Groups(
+        np.array([r.mean for r in rows], dtype=float).reshape(len(rows), width),
+        np.array([r.w for r in rows], dtype=float),
+        [r.first for r in rows],
+        [r.cell for r in rows],
+    )
 
 
 def number_points(groups: Groups, cluster: np.ndarray) -> dict[int, int]:
@@ -145,12 +92,6 @@ def number_points(groups: Groups, cluster: np.ndarray) -> dict[int, int]:
     return {c: i + 1 for i, c in enumerate(sorted(firsts, key=firsts.get))}
 
 
-def number_clusters(assigned: DataFrame) -> dict[int, int]:
-    """Number the clusters of the clones 1, 2, ... by their first clone."""
-    firsts = assigned.groupBy("cluster").agg(F.min(CLONE).alias("first")).collect()
-    return {row["cluster"]: i + 1 for i, row in enumerate(sorted(firsts, key=lambda r: r["first"]))}
-
-
 def custom_numbers(numbers: dict[int, int], custom_order: Sequence[int] | None, clusters: int) -> dict[int, int]:
     """Cluster ``c`` becomes its position in ``custom_order``, if that lists every cluster once."""
     if not custom_order or len(custom_order) != clusters or set(custom_order) != set(numbers.values()):
@@ -159,11 +100,14 @@ def custom_numbers(numbers: dict[int, int], custom_order: Sequence[int] | None,
     return {cluster: position[number] for cluster, number in numbers.items()}
 
 
-def relabel(labels: DataFrame, custom_order: Sequence[int]) -> DataFrame:
-    """Renumber the trajectories of a label table: number ``c`` becomes its position in ``custom_order``.
+def relabel(labels: DataFrame, custom_order: Sequence[int], clusters: int) -> DataFrame:
+    """Renumber the ``clusters`` trajectories of a label table: number ``c`` becomes its position in ``custom_order``.
 
-    Numbers that are not listed, and ``Other``, stay as they are.
+    Nothing changes unless the list has every number from 1 to ``clusters`` once. ``Other``
+    stays as it is.
     """
+    if sorted(custom_order) != list(range(1, clusters + 1)):
+        return labels
     number = trajectory_number()
     position = F.array_position(F.array(*[F.lit(c) for c in custom_order]), number)
     name = F.when(position > 0, F.concat(F.lit(TRAJ_PREFIX), position.cast("string"))).otherwise(F.col(K))
@@ -187,14 +131,14 @@ def ward_labels(
     clusters: int = N_CLUSTERS,
     correlation: str = "pearson",
     custom_order: Sequence[int] | None = None,
-    max_points: int = MAX_POINTS,
+    resolution: float | None = None,
 ) -> DataFrame:
     """Ward clusters of the correlation rows."""
     projection = row_projection(units, timepoints, correlation)
-    placed = place(units, projection)
+    placed = place(units, projection, resolution or cell_size(timepoints, WARD_CELLS))
     if projection.clones == 0:
         return no_labels(placed)
-    groups = group_points(placed, projection.clones, projection.width, max_points)
+    groups = group_points(placed, projection.width)
     cluster = ward(groups.points, groups.weights, clusters)
     numbers = custom_numbers(number_points(groups, cluster), custom_order, clusters)
     return named(groups.assign(placed, cluster), numbers)
@@ -206,21 +150,18 @@ def medoid_labels(
     clusters: int = N_CLUSTERS,
     correlation: str = "pearson",
     custom_order: Sequence[int] | None = None,
-    max_points: int = MAX_MEDOID_POINTS,
+    resolution: float | None = None,
 ) -> DataFrame:
-    """Clusters around medoids; each clone goes to its nearest medoid."""
+    """Clusters around medoids; each cell goes to its nearest medoid."""
     projection = row_projection(units, timepoints, correlation)
-    placed = place(units, projection)
+    placed = place(units, projection, resolution or cell_size(timepoints, MEDOID_CELLS))
     if projection.clones == 0:
         return no_labels(placed)
-    groups = group_points(placed, projection.clones, projection.width, max_points, real_points=True)
+    groups = group_points(placed, projection.width)
     chosen = groups.points[medoids(groups.points, groups.weights, clusters)]
-    assigned = assign_nearest(placed, chosen)
-    if groups.exact:
-        numbers = number_points(groups, nearest_centre(groups.points, chosen))
-    else:
-        numbers = number_clusters(assigned)
-    return named(assigned, custom_numbers(numbers, custom_order, clusters))
+    cluster = nearest_centre(groups.points, chosen)
+    numbers = custom_numbers(number_points(groups, cluster), custom_order, clusters)
+    return named(groups.assign(placed, cluster), numbers)
 
 
 def principal_labels(
@@ -228,40 +169,28 @@ def principal_labels(
     timepoints: int,
     clusters: int = N_CLUSTERS,
     correlation: str = "pearson",
-    max_points: int = MAX_POINTS,
+    resolution: float | None = None,
+    passes: int = CONSOLIDATION_PASSES,
 ) -> DataFrame:
-    """Ward clusters on principal components, consolidated by moving centres.
+    """Ward clusters on principal components, consolidated by moving centres at most ``passes`` times.
 
     Numbered by the clusters' centres on the first axis.
     """
     projection = principal_projection(units, timepoints, correlation)
-    placed = place(units, projection)
+    placed = place(units, projection, resolution or cell_size(timepoints, WARD_CELLS))
     if projection.clones == 0:
         return no_labels(placed)
-    groups = group_points(placed, projection.clones, projection.width, max_points)
+    groups = group_points(placed, projection.width)
     start = ward(groups.points, groups.weights, clusters)
     centres = weighted_centres(groups.points, groups.weights, start)
-    for _ in range(CONSOLIDATION_PASSES):
-        moved = _moved_centres(placed, groups, centres)
+    for _ in range(passes):
+        moved, nearest = centres.copy(), nearest_centre(groups.points, centres)
+        moved[np.unique(nearest)] = weighted_centres(groups.points, groups.weights, nearest)
         if np.allclose(moved, centres, rtol=0, atol=1e-12):
             break
         centres = moved
     numbers = {int(c): i + 1 for i, c in enumerate(np.argsort(centres[:, 0], kind="stable"))}
-    return named(assign_nearest(placed, centres), numbers)
-
-
-def _moved_centres(placed: DataFrame, groups: Groups, centres: np.ndarray) -> np.ndarray:
-    """Centres of the clones nearest to each centre; over the points if they are exact."""
-    moved = centres.copy()
-    if groups.exact:
-        nearest = nearest_centre(groups.points, centres)
-        moved[np.unique(nearest)] = weighted_centres(groups.points, groups.weights, nearest)
-        return moved
-    v = slots("v", centres.shape[1])
-    means = assign_nearest(placed, centres).groupBy("cluster").agg(F.array(*[F.avg(c) for c in v]).alias("c"))
-    for row in means.collect():
-        moved[row["cluster"]] = row["c"]
-    return moved
+    return named(groups.assign(placed, nearest_centre(groups.points, centres)), numbers)
 
 
 def peak_labels(matrix: DataFrame, timepoints: int) -> DataFrame:

@@ -79,7 +79,8 @@ def take_per_group(df: DataFrame, by: Sequence[str], size: int | None, seed: int
     The order is the digest of the barcode, so the same rows come out at any
     partitioning. No group is sorted as a whole: a histogram over the first ``digits``
     hex digits of the digest tells in which bucket the last wanted row of a group lies,
-    and only the rows of that bucket are ranked. Barcodes must be unique.
+    and only the rows of that bucket are ranked. Rows with one barcode are ordered by their
+    other columns.
     """
     require(df, BARCODE, *by)
     # as one struct, null keys are equal to each other and survive the joins
@@ -100,12 +101,19 @@ def take_per_group(df: DataFrame, by: Sequence[str], size: int | None, seed: int
     )
 
     in_edge = lookup_join(keyed, edge, ["_group", "_bucket"], "inner")
-    ranked = in_edge.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy("_digest")))
-    last = ranked.filter(F.col("_rank") == F.col("_need")).select("_group", F.col("_digest").alias("_last"))
-    bound = wanted.join(last, "_group", "left").select("_group", "_size", "_last")
+    by_digest = Window.partitionBy("_group").orderBy("_digest")
+    ranked = in_edge.withColumn("_place", F.row_number().over(by_digest)).withColumn("_first", F.rank().over(by_digest))
+    last = ranked.filter(F.col("_place") == F.col("_need")).select(
+        "_group", F.col("_digest").alias("_last"), (F.col("_need") - F.col("_first") + 1).alias("_ties")
+    )
+    bound = wanted.join(last, "_group", "left").select("_group", "_size", "_last", "_ties")
 
     marked = df.withColumn("_group", group).withColumn("_digest", digest)
     kept = lookup_join(marked, bound, ["_group"], "inner").filter(
         (F.col("_size") > 0) & (F.col("_last").isNull() | (F.col("_digest") <= F.col("_last")))
     )
-    return kept.select(*df.columns)
+    kept = materialize(kept.withColumn("_tied", F.coalesce(F.col("_digest") == F.col("_last"), F.lit(False))))
+    # rows that share the last barcode: by a digest of the whole row
+    order = Window.partitionBy("_group").orderBy(F.xxhash64(*df.columns))
+    tied = kept.filter("_tied").withColumn("_place", F.row_number().over(order)).filter("_place <= _ties")
+    return kept.filter("not _tied").select(*df.columns).union(tied.select(*df.columns))

@@ -22,6 +22,7 @@ from trajspark.schema import (
     TREATMENT,
     require,
 )
+from trajspark.session import materialize
 
 
 def recode_timepoint(
@@ -63,27 +64,25 @@ def keep_paired_chains(cells: DataFrame) -> DataFrame:
 
 
 def contingency(cells: DataFrame, by: str, levels: Mapping[str, Sequence]) -> DataFrame:
-    """Counts for every value of ``by`` and every combination of the declared ``levels``.
+    """Counts for every value of ``by`` and every combination of levels, 0 without a cell.
 
-    Combinations without a cell get 0. Every combination is one counter of a single
-    aggregate, so the cells are read once and counted before the shuffle.
+    Levels are the declared ones and all that the cells have; a null is no level. Cells are
+    read once and counted before the shuffle; the rest works on that small table.
     """
     require(cells, by, *levels)
-    combos: list[dict] = [{}]
-    for column, values in levels.items():
-        combos = [{**c, column: v} for c in combos for v in values]
-    counters = []
-    for i, combo in enumerate(combos):
-        hit = F.lit(True)
-        for column, value in combo.items():
-            hit = hit & (F.col(column) == F.lit(value))
-        counters.append(F.count_if(hit).alias(f"_n{i}"))
-    counted = cells.groupBy(by).agg(*counters)
-    rows = [
-        F.struct(*[F.lit(v).alias(c) for c, v in combo.items()], F.col(f"_n{i}").alias("n"))
-        for i, combo in enumerate(combos)
-    ]
-    return counted.select(by, F.inline(F.array(*rows)))
+    counted = materialize(cells.groupBy(by, *levels).agg(F.count(F.lit(1)).alias("n")))
+    grid = counted.select(by).distinct()
+    for column, declared in levels.items():
+        kind = counted.schema[column].dataType
+        listed = F.array(*[F.lit(v).cast(kind) for v in declared]) if declared else F.array().cast(f"array<{kind.simpleString()}>")
+        # levels only: as many as the cells have different ones
+        found = counted.agg(F.array_union(listed, F.collect_set(column))).scalar()
+        grid = grid.withColumn(column, F.explode(found))
+    # as one struct, a null value of ``by`` is equal to itself
+    key = [F.struct(by).alias("_by"), *levels]
+    sizes = counted.select(*key, "n")
+    whole = grid.select(by, *key).join(sizes, ["_by", *levels], "left")
+    return whole.select(by, *levels, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def sample_counts(cells: DataFrame, timepoints: Sequence[int] = TIMEPOINTS) -> DataFrame:

@@ -21,7 +21,7 @@ from trajspark.schema import CLONE, K, require
 from trajspark.session import materialize
 
 EIGEN_FLOOR = 1e-12
-MAX_ANCHORS = 1_000
+ANCHOR_BLOCK = 256
 
 
 def abundance_matrix(vectors: DataFrame, width: int, fill_missing: bool = True) -> DataFrame:
@@ -210,15 +210,16 @@ def block_means(units: DataFrame, labels: DataFrame, width: int) -> DataFrame:
 def anchor_correlations(units: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
     """Rows of the correlation matrix: every clone against each clone listed in ``anchors``.
 
-    For the rows that are looked at. The list is counted first; all pairs of clones are
-    never written out, as the table of ``u`` already holds them.
+    For the rows that are looked at. Anchors of any number are packed in blocks of about
+    ``ANCHOR_BLOCK``; a clone meets one block after the other.
     """
     listed = materialize(defined(units).join(anchors.select(CLONE).distinct(), CLONE, "left_semi"))
-    if listed.count() > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors; take dot products of unit vectors instead")
-    paired = _with_each(
-        defined(units).select(CLONE, "u"), listed, F.col(CLONE).alias("anchor_id"), F.col("u").alias("a")
+    blocks = max(1, -(-listed.count() // ANCHOR_BLOCK))
+    packed = listed.groupBy(F.pmod(F.xxhash64(CLONE), F.lit(blocks)).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(CLONE).alias("anchor_id"), F.col("u").alias("a")))).alias("anchors")
     )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")
+    paired = defined(units).select(CLONE, "u", every).join(packed, "block").select(CLONE, "u", F.inline("anchors"))
     return paired.select(CLONE, "anchor_id", _products("u", "a", width).alias("cor"))
 
 

@@ -419,7 +419,7 @@ def traj_absolute(spark, sf_dir):
 
 
 def traj_relabel(spark, sf_dir):
-    return cluster.relabel(run(spark, sf_dir).labels, CUSTOM_ORDER)
+    return cluster.relabel(run(spark, sf_dir).labels, CUSTOM_ORDER, WIDTH)
 
 
 def label_cells(spark, sf_dir):
