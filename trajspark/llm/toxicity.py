@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model = fit(np.repeat(np.arange(len(label)), counts), cell, label)
         return pa.table(
             {
-                "cells": [model.cells.tolist()],
+                "cells": lists(model.cells.astype(np.int64), np.array([len(model.cells)])),
                 "bias": [model.bias],
-                "weight": [model.weight.tolist()],
-                "factor": [model.factor.ravel().tolist()],
+                "weight": lists(model.weight, np.array([model.weight.size])),
+                "factor": lists(model.factor.ravel(), np.array([model.factor.size])),
             }
         )
 
