@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trajspark.llm.tables import written
+from trajspark.llm.tables import set_aside, written
 
 MAX_EPOCHS = 2
 SEED = 11
@@ -91,10 +91,12 @@ def mix(
     is within the prefix. Rows that repeat are ordered and given each. Columns of ``docs`` named
     ``n_tokens`` or ``epoch`` are replaced. An empty table gives an empty mixture.
     """
-    kept = [c for c in docs.columns if c not in ("n_tokens", "epoch")]
     leaf = {f"_leaf{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(levels.values())}
     keys = list(leaf)
-    rows = docs.select(*kept, *[c.alias(n) for n, c in leaf.items()])
+    names = docs.columns
+    rows, back = set_aside(docs.select("*", *[c.alias(n) for n, c in leaf.items()]), "doc_id", "text", *keys)
+    back = [c for name, c in zip(names, back) if name.lower() not in ("n_tokens", "epoch")]
+    kept = rows.columns[: len(names)]
     sums = written(
         rows.select(*keys, "doc_id", word_count().alias("t"))
         .select(*keys, "doc_id", "t", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("e"))
@@ -133,5 +135,6 @@ def mix(
     place = Window.partitionBy(*keys).orderBy(_digest(F.col("full"), seed), "doc_id", "n_tokens", F.xxhash64("text"))
     upto = F.sum("n_tokens").over(place.rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("_upto", upto).filter("before + _upto <= rest")
-    return given.union(edge.select(*kept, "n_tokens", F.col("full").alias("epoch")))
+    out = given.union(edge.select(*kept, "n_tokens", F.col("full").alias("epoch")))
+    return out.select(*back, "n_tokens", "epoch")
 

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from trajspark.llm import words as W
 from trajspark.llm.components import components
-from trajspark.llm.tables import IdFilter, lists, map_arrow, sorted_groups, split, written
+from trajspark.llm.tables import IdFilter, lists, map_arrow, set_aside, sorted_groups, split, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -399,8 +399,9 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with one document of each component of ``found``: the one with the smallest ``doc_id``.
 
     Of rows with one ``doc_id`` one stays. Rows with a null ``doc_id`` stay. Only rows that
-    may have to go are shuffled.
+    may have to go are shuffled. All columns stay, whatever their names.
     """
+    docs, back = set_aside(docs, "doc_id", "text")
     same = F.max(F.col("component_id") == F.col("doc_id")).alias("first")
     seen = found.filter("doc_id is not null").groupBy("doc_id").agg(same, F.count(F.lit(1)).alias("rows"))
     touched = written(seen.filter("not first or rows > 1").select("doc_id", "first"), "touched")
@@ -408,4 +409,5 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     marked = some.join(touched.select(F.col("doc_id").alias("_id"), F.col("first").alias("_first")), F.col("doc_id") == F.col("_id"), "left")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     listed = marked.filter("_id is not null and _first").withColumn("_place", place).filter("_place = 1")
-    return others.union(marked.filter("_id is null").select(docs.columns)).union(listed.select(docs.columns))
+    out = others.union(marked.filter("_id is null").select(docs.columns)).union(listed.select(docs.columns))
+    return out.select(*back)

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import words as W
-from trajspark.llm.tables import map_arrow
+from trajspark.llm.tables import map_arrow, set_aside
 
 MIN_GUESSES = 8.0
 MIN_VALUE = 6
@@ -77,6 +79,11 @@ def guess_cost(value: str) -> float:
     plain = low.translate(LEET)
     n = len(value)
     best = [0.0] + [math.inf] * n
+    # how many characters from each place on equal those one period later
+    same = {period: [0] * (n + 1) for period in range(1, 9)}
+    for period, run in same.items():
+        for i in range(n - period - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if low[i] == low[i + period] else 0
 
     def reach(end: int, cost: float) -> None:
         if cost < best[end]:
@@ -103,12 +110,11 @@ def guess_cost(value: str) -> float:
             walk += 1
             if walk - i >= 3:
                 reach(walk, base + math.log10(47 * (walk - i)))
-        for period in range(1, 9):
-            unit = low[i : i + period]
-            end = i + period
-            while end + period <= n and low[end : end + period] == unit:
-                end += period
-                reach(end, base + period + math.log10((end - i) // period))
+        for period, run in same.items():
+            times = run[i] // period + 1
+            # a long run ends after few repeats or with its last, so that it takes linear time
+            for k in {*range(2, min(times, LONGEST_MATCH) + 1), times} if times > 1 else ():
+                reach(i + k * period, base + period + math.log10(k))
     return best[n]
 
 
@@ -123,9 +129,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
     """Values after credential words that no base span touches and that cost at least ``least``."""
     out = []
+    starts = [s for s, _, _ in base]
+    reached = list(accumulate((e for _, _, e in base), max, initial=0))
     for m in CONTEXT.finditer(text):
         start, end = m.span(m.lastindex)
-        if end - start >= MIN_VALUE and not any(s < end and start < e for s, _, e in base):
+        # the base spans that start before the value's end must all end before it starts
+        if end - start >= MIN_VALUE and reached[bisect_left(starts, end)] <= start:
             if guess_cost(text[start:end]) >= least:
                 out.append((start, 3, end))
     return out
@@ -203,8 +212,9 @@ def scan(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
 def redact(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
     """``docs`` with every span of ``text`` (spans that overlap: their union) replaced by ``[SECRET]``.
 
-    All rows and columns stay; a null text stays null.
+    All rows and columns stay, whatever their names; a null text stays null.
     """
+    docs, back = set_aside(docs, "text")
     at = docs.columns.index("text")
 
     def mask(batch):
@@ -224,4 +234,4 @@ def redact(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
             batch = batch.set_column(at, batch.schema.field(at), pa.compute.replace_with_mask(texts, pa.array(marked), new))
         yield batch
 
-    return map_arrow(docs, mask, docs.schema)
+    return map_arrow(docs, mask, docs.schema).select(*back)
