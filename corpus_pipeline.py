@@ -1,7 +1,10 @@
 """A corpus pipeline: toxic documents and near duplicates go, secrets are masked, sources are mixed, the rest is packed.
 
 Every stage works on all that the one before kept, which is written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``, further ones included,
+whatever their names. Rows with a null or empty text pass every stage and are packed as
+an end id; a null language or source is a leaf of its own; rows with a null ``doc_id`` are
+no copies of each other; of rows with one ``doc_id`` one is kept. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trajspark.llm import mixing, ngram_join, packing, secrets, toxicity
 from trajspark.llm.queries import MIX_WEIGHTS, mix_levels
-from trajspark.llm.tables import table, written
+from trajspark.llm.tables import set_aside, table, written
 
 #: The mixture has as many tokens as its input.
 MIX_PERCENT = 100
@@ -19,8 +22,9 @@ MIX_PERCENT = 100
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic."""
-    found = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return found.filter("predicted = 0").select(docs.columns)
+    held, back = set_aside(docs, "doc_id", "text")
+    found = toxicity.scored(held, table(spark, sf_dir, "labels"))
+    return found.filter("predicted = 0").select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +42,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture by target weights; a document of the second epoch comes twice."""
-    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_PERCENT).select(docs.columns)
+    held, back = set_aside(docs, "doc_id", "text", "lang", "source")
+    return mixing.mix(held, mix_levels(), MIX_WEIGHTS, MIX_PERCENT).select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
