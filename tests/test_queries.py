@@ -40,11 +40,15 @@ CORE = (
     "run_summary",
     "timepoint_recode",
     "sample_qc",
+    "sample_counts",
+    "treatment_counts",
     "contingency3",
     "clone_assign",
     "ambiguity_combine",
     "ambiguity_drop",
     "clone_key_aa",
+    "clone_counts",
+    "min_sample_cells",
     "downsample_fixed",
     "downsample_to_min",
     "zero_fill_missing_sample",
@@ -57,6 +61,7 @@ CORE = (
     "corr_pearson",
     "corr_kendall",
     "corr_row_distance",
+    "treatment_labels",
     "label_cells",
     "rank_by_column",
     "cumsum_labels",

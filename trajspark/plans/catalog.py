@@ -45,6 +45,8 @@ DROPPED_PATIENTS = ["NATION_3", "NATION_7"]
 FLOOR = 250
 EXEMPT = "ASIA"
 SAMPLE_SIZE = 50
+#: Weeks of all sample labels of the test tables, those before the baseline included.
+ALL_WEEKS = {"Baseline": 0} | {f"Follow Up {k}": 3 * k for k in range(-9, 10) if k}
 SEED = 19
 CUSTOM_ORDER = [3, 1, 4, 2]
 SELECTED = ["Traj 1", "Traj 3"]
@@ -83,6 +85,13 @@ def base_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.assign_clones(cleaned, unique_barcodes=True)
 
 
+def whole_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of all weeks with their clone, null where a chain is missing."""
+    cells = qc.recode_timepoint(testbed.raw_cells(spark, sf_dir), weeks=ALL_WEEKS)
+    cells = cells.withColumn(TIMEPOINT, F.col(TIMEPOINT).try_cast("int"))
+    return clones.assign_clones(cells, unique_barcodes=True)
+
+
 def base_vectors(
     spark: SparkSession, sf_dir: str, floor: int = 1, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -163,7 +172,7 @@ def paired_chain_filter(spark, sf_dir):
 
 
 def sample_counts(spark, sf_dir):
-    return qc.sample_counts(base_cells(spark, sf_dir))
+    return qc.sample_counts(whole_cells(spark, sf_dir))
 
 
 def sample_qc(spark, sf_dir):
@@ -172,19 +181,20 @@ def sample_qc(spark, sf_dir):
 
 
 def treatment_counts(spark, sf_dir):
-    return qc.treatment_counts(base_cells(spark, sf_dir), testbed.TREATMENTS)
+    return qc.treatment_counts(whole_cells(spark, sf_dir), testbed.TREATMENTS)
 
 
 def contingency3(spark, sf_dir):
-    return qc.sample_treatment_counts(base_cells(spark, sf_dir), testbed.TREATMENTS)
+    return qc.sample_treatment_counts(whole_cells(spark, sf_dir), testbed.TREATMENTS)
 
 
 # clones
 
 
 def clone_assign(spark, sf_dir):
-    cleaned = clean_cells(testbed.raw_cells(spark, sf_dir), floor=None)
-    return clones.assign_clones(cleaned).select(BARCODE, PATIENT, TIMEPOINT, CLONE)
+    cells = qc.recode_timepoint(testbed.raw_cells(spark, sf_dir), weeks=ALL_WEEKS)
+    cells = cells.withColumn(TIMEPOINT, F.col(TIMEPOINT).try_cast("int"))
+    return clones.assign_clones(cells).select(BARCODE, PATIENT, TIMEPOINT, CLONE)
 
 
 def clone_key_nt(spark, sf_dir):
@@ -219,22 +229,22 @@ def ambiguity_drop(spark, sf_dir):
 
 
 def min_sample_cells(spark, sf_dir):
-    kept = abundance.min_sample_cells(base_cells(spark, sf_dir), FLOOR)
+    kept = abundance.min_sample_cells(whole_cells(spark, sf_dir), FLOOR)
     return kept.groupBy(PATIENT, TIMEPOINT).agg(F.count(F.lit(1)).alias("n"))
 
 
 def downsample_fixed(spark, sf_dir):
-    kept = abundance.downsample_samples(base_cells(spark, sf_dir), SAMPLE_SIZE, SEED)
+    kept = abundance.downsample_samples(whole_cells(spark, sf_dir), SAMPLE_SIZE, SEED)
     return kept.select(BARCODE, PATIENT, TIMEPOINT, CLONE)
 
 
 def downsample_to_min(spark, sf_dir):
-    kept = abundance.downsample_to_smallest(base_cells(spark, sf_dir), [TIMEPOINT, TREATMENT], SEED)
+    kept = abundance.downsample_to_smallest(whole_cells(spark, sf_dir), [TIMEPOINT, TREATMENT], SEED)
     return kept.select(BARCODE, TREATMENT, TIMEPOINT, CLONE)
 
 
 def clone_counts(spark, sf_dir):
-    return abundance.clone_counts(base_cells(spark, sf_dir))
+    return abundance.clone_counts(whole_cells(spark, sf_dir))
 
 
 def clone_counts_complete(spark, sf_dir):
@@ -539,7 +549,7 @@ def ctype_freq(spark, sf_dir):
 
 
 def treatment_labels(spark, sf_dir):
-    cells = base_cells(spark, sf_dir)
+    cells = whole_cells(spark, sf_dir)
     names = [F.lit(x) for pair in PUBLISHED_TREATMENTS.items() for x in pair]
     published = F.coalesce(F.try_element_at(F.create_map(*names), F.col(TREATMENT)), F.col(TREATMENT))
     shown = cells.withColumn(TREATMENT, published).withColumn("display", composition.treatment_display())

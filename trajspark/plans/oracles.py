@@ -46,6 +46,11 @@ all_base AS (
 BASE = f"""{ALL_BASE},
 base AS (SELECT * FROM all_base)"""
 
+# all cells of all weeks; the clone is null where a chain is missing
+WHOLE = f"""{CELLS},
+base AS (SELECT *, patient_alias || ':' || tra || ':' || trb AS clone_id FROM cells),
+tps AS (SELECT DISTINCT timepoint FROM (SELECT timepoint FROM base UNION ALL FROM {TIMES} t(timepoint)))"""
+
 # cells of samples with enough cells; the others are missing samples
 FLOOR_BASE = f"""{ALL_BASE},
 base AS (
@@ -171,7 +176,7 @@ FROM cells WHERE timepoint IN (0, 3, 6, 9) GROUP BY patient_alias, timepoint""",
 WHERE tra IS NOT NULL AND trb IS NOT NULL GROUP BY tra || trb || patient_alias""",
     ),
     "sample_counts": over(
-        BASE,
+        WHOLE,
         """SELECT p.patient_alias, t.timepoint, count(b.barcode) AS n
 FROM (SELECT DISTINCT patient_alias FROM base) p CROSS JOIN tps t
   LEFT JOIN base b ON b.patient_alias = p.patient_alias AND b.timepoint = t.timepoint
@@ -188,14 +193,14 @@ WHERE patient_alias IN (SELECT patient_alias FROM base WHERE treatment = '{q.EXE
 GROUP BY patient_alias, treatment, timepoint""",
     ),
     "treatment_counts": over(
-        BASE,
+        WHOLE,
         """SELECT p.patient_alias, r_name AS treatment, count(b.barcode) AS n
 FROM (SELECT DISTINCT patient_alias FROM base) p CROSS JOIN region
   LEFT JOIN base b ON b.patient_alias = p.patient_alias AND b.treatment = r_name
 GROUP BY p.patient_alias, r_name""",
     ),
     "contingency3": over(
-        BASE,
+        WHOLE,
         """SELECT p.patient_alias, t.timepoint, r_name AS treatment, count(b.barcode) AS n
 FROM (SELECT DISTINCT patient_alias FROM base) p CROSS JOIN tps t CROSS JOIN region
   LEFT JOIN base b ON b.patient_alias = p.patient_alias AND b.treatment = r_name AND b.timepoint = t.timepoint
@@ -207,7 +212,7 @@ KEYED = f"""{CELLS},
 keyed AS (SELECT short_barcode AS barcode, patient_alias || ':' || tra || ':' || trb AS clone_id FROM cells)"""
 
 CLONES = {
-    "clone_assign": over(BASE, "SELECT barcode, patient_alias, timepoint, clone_id FROM base"),
+    "clone_assign": over(WHOLE, "SELECT barcode, patient_alias, timepoint, clone_id FROM base"),
     "clone_key_nt": over(KEYED, "SELECT clone_id, count(*) AS n FROM keyed GROUP BY clone_id"),
     "clone_key_aa": over(
         CELLS,
@@ -236,25 +241,26 @@ GROUP BY barcode, clone_id""",
 
 ABUNDANCE = {
     "min_sample_cells": over(
-        FLOOR_BASE, "SELECT patient_alias, timepoint, count(*) AS n FROM base GROUP BY patient_alias, timepoint"
+        WHOLE,
+        f"SELECT patient_alias, timepoint, count(*) AS n FROM base GROUP BY patient_alias, timepoint HAVING count(*) >= {q.FLOOR}",
     ),
     "downsample_fixed": over(
-        BASE,
+        WHOLE,
         f"""SELECT barcode, patient_alias, timepoint, clone_id FROM (
   SELECT *, row_number() OVER (PARTITION BY patient_alias, timepoint ORDER BY md5(barcode || '|{q.SEED}')) AS place
   FROM base) WHERE place <= {q.SAMPLE_SIZE}""",
     ),
     "downsample_to_min": over(
-        BASE,
+        WHOLE,
         f"""SELECT barcode, treatment, timepoint, clone_id FROM (
   SELECT *, row_number() OVER (PARTITION BY timepoint, treatment ORDER BY md5(barcode || '|{q.SEED}')) AS place
   FROM base) WHERE place <= (
   SELECT min(n) FROM (SELECT count(*) AS n FROM base GROUP BY timepoint, treatment))""",
     ),
     "clone_counts": over(
-        BASE,
+        WHOLE,
         """SELECT patient_alias, timepoint, treatment, clone_id, response, trb_aa AS "TRB_chain_cdr3", count(*) AS n
-FROM base GROUP BY patient_alias, timepoint, treatment, clone_id, response, trb_aa""",
+FROM base WHERE clone_id IS NOT NULL GROUP BY patient_alias, timepoint, treatment, clone_id, response, trb_aa""",
     ),
     "clone_counts_complete": over(
         f"{BASE},\n{STATS}", "SELECT patient_alias, treatment, clone_id, timepoint, n FROM stats"
@@ -593,7 +599,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY timepoint, treatment, patient_alias)
 WHERE k <> 'Other' GROUP BY timepoint, treatment, patient_alias, k, clone_id, ctype""",
     ),
     "treatment_labels": over(
-        f"{BASE},\nnamed AS (SELECT CASE treatment {SHOWN} ELSE treatment END AS treatment FROM base)",
+        f"{WHOLE},\nnamed AS (SELECT CASE treatment {SHOWN} ELSE treatment END AS treatment FROM base)",
         """SELECT treatment, CASE treatment WHEN 'aPD1' THEN '(prior ipi)' || chr(10) || 'aPD-1'
   WHEN 'aPD-1 (naive)' THEN chr(10) || 'aPD-1' WHEN 'aCTLA-4' THEN chr(10) || 'aCTLA-4'
   WHEN 'Combination' THEN chr(10) || 'Combination' ELSE treatment END AS display, count(*) AS n
