@@ -65,6 +65,24 @@ FROM p LEFT JOIN (FROM f WHERE is_rule) u USING (r) LEFT JOIN (FROM f WHERE NOT
     "op10_mixing": "WITH "
     + mixing_sql("documents", 60, 2, 11)
     + " SELECT doc_id, lang, source, CAST(t AS BIGINT) AS n_tokens, epoch FROM mixed",
+    "op13_hard_negatives": """
+WITH u AS (SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM u a JOIN u b ON a.vec_id % 50 = 0),
+p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE same AND vec_id <> anchor_id QUALIFY place <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, place ORDER BY score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+""",
     "op2_quality": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.llm import (
+    hard_negatives,
     mixing,
     neighbours,
     ngram_join,
@@ -15,6 +16,8 @@ from trajspark.llm import (
     packing,
     quality,
     secrets,
+    simhash,
+    spelling,
     substring_dedup,
     token_counts,
     toxicity,
@@ -93,6 +96,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "n_tokens", "epoch")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_join,
@@ -105,6 +121,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_packing,
         op10_mixing,
+        op11_spelling,
+        op12_simhash,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in found}
 
