@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import tokens
-from trajspark.llm.tables import sorted_groups, written
+from trajspark.llm.tables import give_back, sorted_groups, written
 
 LENGTH = 2048
 OPEN_WINDOWS = 64
@@ -45,7 +45,7 @@ _ARROW = pa.schema(
         ("part", pa.int32()),
     ]
 )
-FLUSH_ROWS = 2000
+FLUSH_ROWS = 500
 
 
 class Windows:
@@ -155,6 +155,7 @@ def pack(
                 yield from windows.taken(FLUSH_ROWS)
         windows.leave()
         yield from windows.taken()
+        give_back()
 
     def again(step: int, last: bool):
         def run(batches):

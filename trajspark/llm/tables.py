@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +12,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark.llm import words
 from trajspark.session import shared_path
 
+#: Texts go to and from Python in batches of about this size: a task holds a few of them.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +30,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     What follows starts from that table, so a lost executor costs no more than its tasks.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of at most ``BATCH_BYTES`` while a table is written; the session keeps its own setting."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
+def give_back() -> None:
+    """Return the memory of a finished task to the system: the worker process lives on for other tasks."""
+    words.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def set_aside(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
     """``docs`` with all columns but ``own`` under names that no operator uses, and what names them back."""
     names = [c if c in own else f"_held{i}" for i, c in enumerate(docs.columns)]
@@ -40,6 +69,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks, "rb") as lines:
             pieces = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.chunks = tiktoken.Encoding(
@@ -50,6 +51,11 @@ class Encoder:
             self.bytes_of[rank] = len(word)
         self._forget()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded when the first whole text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.place = np.zeros(0, dtype=np.int64)

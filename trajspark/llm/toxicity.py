@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.llm import words as W
-from trajspark.llm.tables import lists, map_arrow
+from trajspark.llm.tables import give_back, lists, map_arrow
 
 HASH_BITS = 20
 PREFIX = 5
@@ -106,7 +106,7 @@ def fit(row: np.ndarray, cell: np.ndarray, label: np.ndarray) -> Model:
     at = np.searchsorted(cells, cell)
     hit = at < len(cells)
     hit[hit] = cells[at[hit]] == cell[hit]
-    row, term, rows, terms = row[hit], at[hit], len(label), len(cells)
+    row, term, rows, terms = row[hit].astype(np.int64), at[hit], len(label), len(cells)
     prior = (label.sum() + 0.5) / (rows + 1)
     values = [np.array([np.log(prior / (1 - prior))]), np.zeros(terms)]
     values.append(np.random.default_rng(SEED).normal(0, 0.05, (terms, FACTORS)))
@@ -152,8 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         table = table.combine_chunks()
         label = table.column("toxic").to_numpy().astype(float)
         counts = table.column("cells").combine_chunks().value_lengths().to_numpy()
-        cell = table.column("cells").combine_chunks().flatten().to_numpy().astype(np.int64)
-        model = fit(np.repeat(np.arange(len(label)), counts), cell, label)
+        cell = table.column("cells").combine_chunks().flatten().to_numpy()
+        model = fit(np.repeat(np.arange(len(label), dtype=np.int32), counts), cell, label)
+        del table, cell
+        give_back()
         return pa.table(
             {
                 "cells": lists(model.cells.astype(np.int64), np.array([len(model.cells)])),

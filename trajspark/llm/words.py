@@ -25,7 +25,12 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C13
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_cached = {"base": np.ones(1, dtype=U64), "inverse": np.ones(1, dtype=U64)}
+_cached: dict[str, np.ndarray] = {}
+
+
+def forget() -> None:
+    """Drop the powers that a worker holds; they grow with the longest text it has met."""
+    _cached.clear()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,7 +47,7 @@ BYTE_VALUES = mix((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
 
 def powers(kind: str, count: int) -> np.ndarray:
     """``base ** i`` for i below ``count``, modulo 2**64."""
-    have = _cached[kind]
+    have = _cached.get(kind, np.ones(1, dtype=U64))
     if len(have) < count:
         factor = _BASE if kind == "base" else _INVERSE
         have = np.full(max(count, 2 * len(have)), factor, dtype=U64)
