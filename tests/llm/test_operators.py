@@ -249,4 +249,4 @@ def test_mixing(spark, docs, empty):
 
 
 def test_every_operator_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 14))
