@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajspark.functions import partition
 from trajspark.functions.profiles import profile_width
-from trajspark.operators import cluster, vectors
+from trajspark.operators import cells, cluster, vectors
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -39,14 +39,14 @@ def row_distances(m):
 
 
 def plain_ward(distance, k):
-    """Lance-Williams updates on squared distances, always joining the closest pair."""
+    """Lance-Williams updates on squared distances, always joining the closest pair, the first of equal ones."""
     d = distance**2
     n = len(d)
     np.fill_diagonal(d, np.inf)
     size, member = np.ones(n), [{i} for i in range(n)]
     alive = set(range(n))
     while len(alive) > k:
-        a, b = np.unravel_index(np.argmin(d), d.shape)
+        a, b = np.unravel_index(np.argmin(np.round(d / n, 9)), d.shape)
         for c in alive - {a, b}:
             s = size[a] + size[b] + size[c]
             d[a, c] = d[c, a] = ((size[a] + size[c]) * d[a, c] + (size[b] + size[c]) * d[b, c] - size[c] * d[a, b]) / s
@@ -163,52 +163,105 @@ def test_principal_axes_match_the_standardised_matrix(spark):
     np.testing.assert_allclose(placed[:, 0], axis, atol=1e-8)
 
 
-def test_a_clone_keeps_its_cell_among_any_number(spark):
-    x = random_profiles(25_000, seed=5)
-    size = cluster.cell_size(4, cluster.WARD_CELLS)
-
-    def cells(rows):
-        units = vectors.unit_vectors(as_matrix(spark, rows), 4)
-        placed = cluster.place(units, vectors.row_projection(units, 4), size)
-        return {r.clone_id: tuple(r.cell) for r in placed.select("clone_id", "cell").collect()}
-
-    few, many = cells(x[:500]), cells(x)
-    assert len(few) == 500 and all(many[c] == cell for c, cell in few.items())
-
-
-@pytest.mark.parametrize("method", ("ward", "medoids"))
-def test_many_clones_take_the_labels_of_their_cells(spark, method):
-    x = random_profiles(25_000, seed=6)
-    units = vectors.unit_vectors(as_matrix(spark, x), 4).cache()
-    size = 0.2
-    projection = vectors.row_projection(units, 4)
-    rows = cluster.place(units, projection).collect()
-    v = np.array([r.v for r in rows])
-    u = np.array([r.u for r in units.filter("u is not null").collect()])
-    order_u = np.argsort([r.clone_id for r in units.filter("u is not null").select("clone_id").collect()])
-    order_v = np.argsort([r.clone_id for r in rows])
-    v, u = v[order_v], u[order_u]
-    _, cell = np.unique(np.floor((u + 1) / size).astype(int), axis=0, return_inverse=True)
-    cell = cell.ravel()
-    weight = np.bincount(cell).astype(float)
-    mean = np.stack([np.bincount(cell, weights=v[:, d]) for d in range(v.shape[1])], axis=1) / weight[:, None]
-    if method == "ward":
-        label = partition.ward(mean, weight, 6)
-        found = groups(cluster.ward_labels(units, 4, 6, resolution=size))
-    else:
-        label = partition.nearest_centre(mean, mean[partition.medoids(mean, weight, 6)])
-        found = groups(cluster.medoid_labels(units, 4, 6, resolution=size))
-    ids = np.array(sorted(r.clone_id for r in rows))
-    want = {frozenset(int(c[1:]) for c in ids[label[cell] == k]) for k in np.unique(label)}
-    assert found == want
-    units.unpersist()
-
-
-def test_result_does_not_depend_on_partitions(spark):
+def placed_points(spark, x, project=vectors.row_projection):
+    """Clones with ``v``, the projection, and all ``v`` in the order of the clones."""
+    units = vectors.unit_vectors(as_matrix(spark, x), x.shape[1])
+    projection = project(units, x.shape[1])
+    rows = cluster.place(units, projection).orderBy("clone_id").collect()
+    return units, projection, np.array([r.v for r in rows])
+
+
+def squares(points, sets):
+    return sum(((points[sorted(s)] - points[sorted(s)].mean(axis=0)) ** 2).sum() for s in sets)
+
+
+@pytest.mark.parametrize("limit", [1, 7, 200])
+def test_cells_are_few_and_keep_the_squares(spark, limit):
+    x = random_profiles(3000, seed=5)
+    units, projection, points = placed_points(spark, x)
+    gridded, fine = cells.in_grid(cluster.place(units, projection), projection.width, len(x), cells=1000)
+    assert 300 < fine.count() <= 1000
+    found = cells.clustered(fine, projection.width, limit)
+    leaf = {r.clone_id: r.leaf for r in cells.with_cell(gridded, found, "leaf").collect()}
+    assert len(leaf) == len(x) and len(set(leaf.values())) <= limit
+    sets = {}
+    for clone, at in leaf.items():
+        sets.setdefault(at, set()).add(int(clone[1:]))
+    total = ((points - points.mean(axis=0)) ** 2).sum()
+    assert found.first().lost == pytest.approx(squares(points, sets.values()) / total, abs=1e-9)
+    standing = cells.representatives(gridded, found, projection.width).collect()
+    assert sum(r.weight for r in standing) == len(x) and len(standing) == len(sets)
+
+
+def test_ward_is_exact_for_thousands_of_clones(spark):
+    x = random_profiles(2500, seed=6)
+    units, _, points = placed_points(spark, x)
+    label = partition.ward(points, np.ones(len(points)), 6)
+    want = {frozenset(np.flatnonzero(label == k).tolist()) for k in range(6)}
+    assert groups(cluster.ward_labels(units, 4, 6)) == want
+    loss = cluster.ward_loss(units, 4, 6).first()
+    assert loss.clones == 2500 and loss.lost == pytest.approx(0, abs=1e-12)
+    assert loss.within == pytest.approx(squares(points, want) / ((points - points.mean(axis=0)) ** 2).sum())
+
+
+def test_ward_of_many_clones_loses_little(spark):
+    x = random_profiles(6000, seed=7)
+    units, _, points = placed_points(spark, x)
+    label = partition.ward(points, np.ones(len(points)), 6)
+    exact = squares(points, [np.flatnonzero(label == k).tolist() for k in range(6)])
+    loss = cluster.ward_loss(units, 4, 6, cells=500).first()
+    assert 0 < loss.lost < 0.01
+    total = ((points - points.mean(axis=0)) ** 2).sum()
+    assert loss.within * total < 1.1 * exact
+
+
+def plain_medoid_cost(points, k):
+    chosen = partition.medoids(points, np.ones(len(points)), k)
+    return partition.distances(points, points[chosen]).min(axis=1).sum()
+
+
+@pytest.mark.parametrize("few", [2500, 200])
+def test_medoids_are_clones_and_cost_little_more(spark, few):
+    x = random_profiles(2500, seed=8)
+    units, _, points = placed_points(spark, x)
+    rows = cluster.medoid_clusters(units, 4, 6, cells=few).collect()
+    assert len(rows) == 2500 and len({r.medoid for r in rows}) == 6
+    held = points[[int(m[1:]) for m in sorted({r.medoid for r in rows})]]
+    gaps = partition.distances(points, held)
+    assert [r.distance for r in sorted(rows)] == pytest.approx(gaps.min(axis=1).tolist(), abs=1e-9)
+    assert {r.medoid for r in rows if r.distance < 1e-9} == {r.medoid for r in rows}
+    limit = 1.01 if few < 2500 else 1 + 1e-9
+    assert gaps.min(axis=1).sum() <= limit * plain_medoid_cost(points, 6)
+
+
+def test_exchanges_are_judged_by_all_clones(spark):
+    points = np.random.default_rng(3).normal(size=(300, 3))
+    placed = spark.createDataFrame([(f"c{i:05d}", p.tolist()) for i, p in enumerate(points)], "clone_id string, v array<double>")
+    change, cost = cluster.exchange_sums(placed.repartition(5), points[:3].tolist(), points[3:9].tolist())
+    assert cost == pytest.approx(partition.distances(points, points[:3]).min(axis=1).sum())
+    for out in range(3):
+        for new in range(6):
+            held = [*points[[i for i in range(3) if i != out]], points[3 + new]]
+            want = partition.distances(points, np.array(held)).min(axis=1).sum() - cost
+            assert change[out, new] == pytest.approx(want, abs=1e-9)
+
+
+def test_principal_clones_go_to_their_nearest_centre(spark):
+    x = random_profiles(3000, seed=9)
+    units, _, points = placed_points(spark, x, vectors.principal_projection)
+    found = cluster.principal_labels(units, 4, 5, cells=100, passes=200)
+    sets = groups(found)
+    centres = np.array([points[sorted(s)].mean(axis=0) for s in sets])
+    nearest = partition.distances(points, centres).argmin(axis=1)
+    assert {frozenset(np.flatnonzero(nearest == i).tolist()) for i in range(5)} == sets
+
+
+@pytest.mark.parametrize("labels", [cluster.ward_labels, cluster.medoid_labels, cluster.principal_labels])
+def test_result_does_not_depend_on_partitions(spark, labels):
     x = random_profiles(400, seed=6)
     units = vectors.unit_vectors(as_matrix(spark, x), 4)
-    once = sorted(cluster.ward_labels(units.repartition(2), 4, 5, resolution=0.3).collect())
-    again = sorted(cluster.ward_labels(units.repartition(9), 4, 5, resolution=0.3).collect())
+    once = sorted(labels(units.repartition(2), 4, 5, cells=60).collect())
+    again = sorted(labels(units.repartition(9), 4, 5, cells=60).collect())
     assert once == again
 
 

@@ -1,7 +1,7 @@
-"""Clustering of a bounded number of weighted points: the last step, on the driver.
+"""Clustering of a bounded number of weighted points, within one task.
 
-The points are cells that stand for all clones. Their number is bounded by the size of a
-cell, whatever the number of clones is.
+The points are cells that stand for all clones. Their number is bounded, whatever the
+number of clones is.
 """
 
 from __future__ import annotations
@@ -9,69 +9,70 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Costs of joins, as a share of the number of clones, count as equal when they agree in so many places.
+TIE_PLACES = 9
+
+
 def ward(points: np.ndarray, weights: np.ndarray, clusters: int) -> np.ndarray:
     """Cluster of each point after Ward linkage, cut into ``clusters`` groups.
 
     Joining clusters ``a`` and ``b`` costs ``2 w_a w_b / (w_a + w_b) |c_a - c_b|^2``,
-    the squared Ward.D2 height, so only centres and weights are kept. Nearest-neighbour
-    chains find the joins; undoing the most costly ones leaves the groups.
+    the squared Ward.D2 height, so only centres and weights are kept. The least costly join
+    is made until few enough are left; of equal costs the one whose clusters have the first
+    points. Every cluster keeps its best partner among those after it; a join makes few of
+    them look again.
     """
-    count = len(points)
+    count, total = len(points), float(weights.sum())
     name = np.arange(count)
+    group = np.arange(count)
     centre, weight = points.astype(float).copy(), weights.astype(float).copy()
     open_ = np.ones(count, dtype=bool)
-    left = count
-    joins: list[tuple[float, int, int]] = []
-    chain: list[int] = []
-    while left > 1:
-        if 2 * left < len(name):
-            # clusters that were joined into others leave the arrays
-            place = np.cumsum(open_) - 1
-            chain = [int(place[i]) for i in chain]
-            name, centre, weight, open_ = name[open_], centre[open_], weight[open_], open_[open_]
-        if not chain:
-            chain.append(int(np.argmax(open_)))
-        tip = chain[-1]
-        gap = np.zeros(len(name))
+
+    def costs(i: int, others: slice | np.ndarray) -> np.ndarray:
+        gap = np.zeros(len(weight[others]))
         for d in range(centre.shape[1]):
-            gap += (centre[:, d] - centre[tip, d]) ** 2
-        cost = 2 * weight * weight[tip] / (weight + weight[tip]) * gap
-        cost[~open_] = np.inf
-        cost[tip] = np.inf
-        near = int(np.argmin(cost))
-        if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
-            near = chain[-2]
-            chain = chain[:-2]
-            joins.append((float(cost[near]), int(name[near]), int(name[tip])))
-            both = weight[near] + weight[tip]
-            centre[near] = (weight[near] * centre[near] + weight[tip] * centre[tip]) / both
-            weight[near] = both
-            open_[tip] = False
-            left -= 1
+            gap += (centre[others, d] - centre[i, d]) ** 2
+        cost = np.round(2 * weight[others] * weight[i] / (weight[others] + weight[i]) * gap / total, TIE_PLACES)
+        cost[~open_[others]] = np.inf
+        return cost
+
+    def look(i: int) -> None:
+        cost = costs(i, slice(i + 1, None))
+        if len(cost):
+            partner[i] = i + 1 + np.argmin(cost)
+            least[i] = cost[partner[i] - i - 1]
         else:
-            chain.append(near)
-
-    group = np.arange(count)
-
-    def root(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = int(group[i])
-        return i
+            least[i] = np.inf
 
-    joins.sort(key=lambda j: j[0])
-    for _, a, b in joins[: max(0, count - clusters)]:
-        group[root(b)] = root(a)
-    roots = [root(i) for i in range(count)]
-    return np.unique(roots, return_inverse=True)[1]
+    least, partner = np.full(count, np.inf), np.zeros(count, dtype=np.int64)
+    for i in range(count):
+        look(i)
+    left = count
+    while left > clusters:
+        a = int(np.argmin(least))
+        b = int(partner[a])
+        both = weight[a] + weight[b]
+        centre[a] = (weight[a] * centre[a] + weight[b] * centre[b]) / both
+        weight[a] = both
+        open_[b], least[b] = False, np.inf
+        group[name[b]] = name[a]
+        left -= 1
+        again = np.flatnonzero(open_[:b] & ((partner[:b] == a) | (partner[:b] == b)))
+        near = costs(a, slice(0, a))
+        better = (near < least[:a]) | ((near == least[:a]) & (a < partner[:a]))
+        least[:a][better], partner[:a][better] = near[better], a
+        for i in {a, *again.tolist()}:
+            look(i)
+        if 2 * left < len(name):
+            # clusters that were joined into others leave the arrays
+            at = np.cumsum(open_) - 1
+            partner = at[partner[open_]]
+            name, centre, weight, least = name[open_], centre[open_], weight[open_], least[open_]
+            open_ = np.ones(left, dtype=bool)
 
-
-def _distances(points: np.ndarray, rows: slice) -> np.ndarray:
-    """Distances from some of the points to all."""
-    out = np.zeros((len(points[rows]), len(points)))
-    for d in range(points.shape[1]):
-        out += (points[rows, d][:, None] - points[None, :, d]) ** 2
-    return np.sqrt(out)
+    while (group[group] != group).any():
+        group = group[group]
+    return np.unique(group, return_inverse=True)[1]
 
 
 def medoids(points: np.ndarray, weights: np.ndarray, clusters: int, block: int = 256) -> np.ndarray:
@@ -89,28 +90,17 @@ def medoids(points: np.ndarray, weights: np.ndarray, clusters: int, block: int =
     while len(chosen) < count:
         gain = np.zeros(total)
         for rows in blocks:
-            distance = _distances(points, rows)
+            distance = distances(points[rows], points)
             if chosen:
                 gain += weights[rows] @ np.maximum(nearest[rows, None] - distance, 0)
             else:
                 gain -= weights[rows] @ distance
         gain[chosen] = -np.inf
         chosen.append(int(np.argmax(gain)))
-        nearest = np.minimum(nearest, _distances(points, slice(chosen[-1], chosen[-1] + 1))[0])
+        nearest = np.minimum(nearest, distances(points[chosen[-1:]], points)[0])
     while total > count:
-        to_chosen = np.stack([_distances(points, slice(c, c + 1))[0] for c in chosen], axis=1)
-        order = np.argsort(to_chosen, axis=1, kind="stable")
-        rows_ = np.arange(total)
-        nearest = to_chosen[rows_, order[:, 0]]
-        second = to_chosen[rows_, order[:, 1]] if count > 1 else np.full(total, np.inf)
-        owner = np.zeros((count, total))
-        owner[order[:, 0], rows_] = weights
-        change = np.zeros((count, total))
-        for rows in blocks:
-            distance = _distances(points, rows)
-            closer = np.minimum(distance - nearest[rows, None], 0)
-            after_loss = np.minimum(distance, second[rows, None]) - nearest[rows, None]
-            change += (weights[rows] @ closer)[None, :] + owner[:, rows] @ (after_loss - closer)
+        change = exchange_costs(points, weights, points[chosen], points, block)
+        nearest = distances(points, points[chosen]).min(axis=1)
         change[:, chosen] = np.inf
         out, new = np.unravel_index(np.argmin(change), change.shape)
         if change[out, new] >= -1e-9 * max(1.0, float(weights @ nearest)):
@@ -119,12 +109,30 @@ def medoids(points: np.ndarray, weights: np.ndarray, clusters: int, block: int =
     return np.array(chosen)
 
 
-def weighted_centres(points: np.ndarray, weights: np.ndarray, cluster: np.ndarray) -> np.ndarray:
-    """Centre of every cluster that has points."""
-    return np.array(
-        [np.average(points[cluster == c], axis=0, weights=weights[cluster == c]) for c in np.unique(cluster)]
-    )
+def distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distance of every point to every other."""
+    out = np.zeros((len(points), len(others)))
+    for d in range(points.shape[1]):
+        out += (points[:, d][:, None] - others[None, :, d]) ** 2
+    return np.sqrt(out)
 
 
-def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.stack([((points - c) ** 2).sum(axis=1) for c in centres], axis=1).argmin(axis=1)
+def exchange_costs(
+    points: np.ndarray, weights: np.ndarray, held: np.ndarray, offered: np.ndarray, block: int = 256
+) -> np.ndarray:
+    """Change of the weighted sum of distances to the nearest medoid, for every medoid held and point offered."""
+    change = np.zeros((len(held), len(offered)))
+    for at in range(0, len(points), block):
+        here, weight = points[at : at + block], weights[at : at + block]
+        to_held = distances(here, held)
+        order = np.argsort(to_held, axis=1, kind="stable")
+        rows = np.arange(len(here))
+        nearest = to_held[rows, order[:, 0]]
+        second = to_held[rows, order[:, 1]] if len(held) > 1 else np.full(len(here), np.inf)
+        owner = np.zeros((len(held), len(here)))
+        owner[order[:, 0], rows] = weight
+        distance = distances(here, offered)
+        closer = np.minimum(distance - nearest[:, None], 0)
+        after_loss = np.minimum(distance, second[:, None]) - nearest[:, None]
+        change += (weight @ closer)[None, :] + owner @ (after_loss - closer)
+    return change

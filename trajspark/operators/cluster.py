@@ -1,95 +1,65 @@
 """Trajectory labels: Ward, medoids, principal components with Ward, or the peak timepoint.
 
 All methods work on the vectors ``v`` of ``trajspark.operators.vectors``, whose distances
-are those between rows of the correlation matrix. Clones are first put into cells of their
-unit vectors ``u``: cubes with edges of ``resolution``, at places that do not depend on the
-data. A cell stands for its clones by their mean ``v`` and their number; cells are
-clustered, and every clone takes the label of its cell. The rule is the same at every
-size. How many cells there can be follows from the resolution and the number of
-timepoints, so only a bounded table reaches the driver.
+are those between rows of the correlation matrix. Ward joins the cells of
+``trajspark.operators.cells``, one for each different clone as long as there are no more
+than ``WARD_CELLS``; medoids are clones of the table, and exchanges are judged by the
+distances of all clones; after principal components, centres move by the means of all
+clones. What reaches the driver are a few rows for each trajectory.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.functions.names import trajectory_number
-from trajspark.functions.partition import medoids, nearest_centre, ward, weighted_centres
-from trajspark.functions.slots import label_of, largest, slots
+from trajspark.functions.partition import distances, exchange_costs, medoids, ward
+from trajspark.functions.slots import label_of, largest, slots, smallest, squared_distance, with_slots
+from trajspark.operators.cells import clustered, in_grid, representatives, with_cell
 from trajspark.operators.joins import lookup_join
+from trajspark.operators.ordering import ordered_rank
 from trajspark.operators.vectors import Projection, defined, principal_projection, row_projection
 from trajspark.schema import CLONE, K, N_CLUSTERS, OTHER, TRAJ_PREFIX, require
-
-#: Cells on the sphere of unit vectors that the default resolutions aim at.
-WARD_CELLS = 10_000
-MEDOID_CELLS = 4_000
+from trajspark.session import materialize
+
+#: Different clones that are clustered exactly; more are joined in cells first.
+WARD_CELLS = 5_000
+MEDOID_CELLS = 2_500
+#: Clones that may take a medoid's place, tried with the distances of all clones.
+CANDIDATES = 256
+EXCHANGES = 20
 CONSOLIDATION_PASSES = 10
 METHODS = ("hclust", "pam", "hcpc", "absolute")
 
 
-def cell_size(timepoints: int, cells: int) -> float:
-    """Edge of a cell: as many as ``cells`` cover the sphere of centred unit vectors.
+def place(units: DataFrame, projection: Projection) -> DataFrame:
+    """Clones with defined correlations and their ``v``."""
+    return defined(units).select(CLONE, F.array(*projection.columns()).alias("v"))
 
-    It depends on the number of timepoints only, never on the clones.
-    """
-    d = timepoints - 2
-    if d < 1:
-        return 1.0
-    area = 2 * math.pi ** ((d + 1) / 2) / math.gamma((d + 1) / 2)
-    return min(1.0, (area / cells) ** (1 / d))
-
-
-@dataclass(frozen=True)
-class Groups:
-    """Weighted cells that stand for all clones; ``firsts`` holds the first clone of each."""
-
-    points: np.ndarray
-    weights: np.ndarray
-    firsts: list[str]
-    keys: list
-
-    def assign(self, placed: DataFrame, cluster: np.ndarray) -> DataFrame:
-        """Clone and cluster, through the clone's cell; a row per cell is broadcast."""
-        rows = [(key, int(c)) for key, c in zip(self.keys, cluster)]
-        lookup = placed.sparkSession.createDataFrame(rows, "cell array<int>, cluster int")
-        return placed.join(F.broadcast(lookup), "cell").select(CLONE, "v", "cluster")
-
-
-def place(units: DataFrame, projection: Projection, resolution: float = 1e-6) -> DataFrame:
-    """Clones with defined correlations, their ``v`` and their ``cell``."""
-    u = slots("u", projection.matrix.shape[0])
-    cell = F.array(*[F.floor((c + F.lit(1.0)) / F.lit(resolution)).cast("int") for c in u])
-    return defined(units).select(CLONE, F.array(*projection.columns()).alias("v"), cell.alias("cell"))
-
-
-def group_points(placed: DataFrame, width: int) -> Groups:
-    """One weighted point for each cell of ``placed``: the mean of its clones."""
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("w"),
-        F.array(*[F.avg(c) for c in slots("v", width)]).alias("mean"),
-        F.min(CLONE).alias("first"),
-    )
-    rows = sorted(cells.collect(), key=lambda r: r.first)
-    return Groups(
-        np.array([r.mean for r in rows], dtype=float).reshape(len(rows), width),
-        np.array([r.w for r in rows], dtype=float),
-        [r.first for r in rows],
-        [r.cell for r in rows],
-    )
+
+def nearest(placed: DataFrame, points: np.ndarray, name: str) -> DataFrame:
+    """Add the number of the nearest of few points, the first of equally near ones."""
+    v = slots("v", points.shape[1])
+    spread, gaps = with_slots(placed, "_gap", [squared_distance(v, p) for p in points])
+    return spread.select(*placed.columns, label_of(gaps, range(len(points)), smallest).alias(name))
 
 
-def number_points(groups: Groups, cluster: np.ndarray) -> dict[int, int]:
-    """Number the clusters of the points 1, 2, ... by their first clone."""
-    firsts: dict[int, str] = {}
-    for c, clone in zip(cluster, groups.firsts):
-        firsts[int(c)] = min(clone, firsts.get(int(c), clone))
-    return {c: i + 1 for i, c in enumerate(sorted(firsts, key=firsts.get))}
+def ward_cells(placed: DataFrame, projection: Projection, clusters: int, cells: int = WARD_CELLS) -> DataFrame:
+    """Every clone with its Ward ``cluster`` and the share of squares ``lost`` within cells (0: exact)."""
+    gridded, fine = in_grid(placed, projection.width, projection.clones)
+    found = clustered(fine, projection.width, cells, lambda points, weights: ward(points, weights, clusters))
+    return with_cell(gridded, found, "cluster", "lost")
+
+
+def first_clones(assigned: DataFrame) -> dict[int, int]:
+    """Number the clusters 1, 2, ... by their first clone."""
+    firsts = assigned.groupBy("cluster").agg(F.min(CLONE).alias("first")).collect()
+    return {r.cluster: i + 1 for i, r in enumerate(sorted(firsts, key=lambda r: r.first))}
 
 
 def custom_numbers(numbers: dict[int, int], custom_order: Sequence[int] | None, clusters: int) -> dict[int, int]:
@@ -131,37 +101,148 @@ def ward_labels(
     clusters: int = N_CLUSTERS,
     correlation: str = "pearson",
     custom_order: Sequence[int] | None = None,
-    resolution: float | None = None,
+    cells: int = WARD_CELLS,
 ) -> DataFrame:
-    """Ward clusters of the correlation rows."""
+    """Ward clusters of the correlation rows; exact for up to ``cells`` different clones."""
     projection = row_projection(units, timepoints, correlation)
-    placed = place(units, projection, resolution or cell_size(timepoints, WARD_CELLS))
+    placed = place(units, projection)
     if projection.clones == 0:
         return no_labels(placed)
-    groups = group_points(placed, projection.width)
-    cluster = ward(groups.points, groups.weights, clusters)
-    numbers = custom_numbers(number_points(groups, cluster), custom_order, clusters)
-    return named(groups.assign(placed, cluster), numbers)
+    assigned = ward_cells(materialize(placed), projection, clusters, cells)
+    return named(assigned, custom_numbers(first_clones(assigned), custom_order, clusters))
 
 
-def medoid_labels(
+def ward_loss(
+    units: DataFrame, timepoints: int, clusters: int = N_CLUSTERS, correlation: str = "pearson", cells: int = WARD_CELLS
+) -> DataFrame:
+    """One row: ``clones``, the share of all squares ``lost`` within cells, and the share ``within`` the clusters.
+
+    What is within the clusters is what is between the cells of a cluster, which Ward keeps
+    small, and ``lost``.
+    """
+    projection = row_projection(units, timepoints, correlation)
+    assigned = ward_cells(materialize(place(units, projection)), projection, clusters, cells)
+    v = slots("v", projection.width)
+
+    def squares(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("lost").alias("lost"),
+            (sum((F.var_pop(c) for c in v), F.lit(0.0)) * F.count(F.lit(1))).alias("squares"),
+        )
+
+    parts = squares(assigned, "cluster").agg(F.sum("squares").alias("inner"))
+    whole = squares(assigned)
+    return whole.select(F.col("n").alias("clones"), "lost", F.try_divide(parts.scalar(), F.col("squares")).alias("within"))
+
+
+def chosen_medoids(
+    placed: DataFrame, projection: Projection, clusters: int, cells: int = MEDOID_CELLS, candidates: int = CANDIDATES
+) -> list:
+    """Rows of the clones that are medoids: name and ``v``.
+
+    Medoids of the cells' clones come first. Then the best exchange of a medoid for one of
+    the most promising clones is made, as long as one lowers the sum of the distances of all
+    clones. For up to ``cells`` different clones the first step is the whole of the method.
+    """
+    gridded, fine = in_grid(placed, projection.width, projection.clones)
+    standing = materialize(representatives(gridded, clustered(fine, projection.width, cells), projection.width))
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by(CLONE)
+        points = np.array(table.column("v").to_pylist()).reshape(table.num_rows, projection.width)
+        weights = table.column("weight").to_numpy()
+        found = medoids(points, weights, clusters)
+        change = exchange_costs(points, weights, points[found], points).min(axis=0)
+        change[found] = np.inf
+        others = np.argsort(change, kind="stable")[: min(candidates, len(change) - len(found))]
+        return table.take(np.append(found, others)).append_column("place", pa.array(np.arange(len(found) + len(others))))
+
+    schema = f"{CLONE} string, v array<double>, weight double, place bigint"
+    rows = standing.groupBy(F.lit(1).alias("all")).applyInArrow(choose, schema).orderBy("place").collect()
+    count = min(clusters, len(rows))
+    now, others = rows[:count], rows[count:]
+    for _ in range(EXCHANGES):
+        change, cost = exchange_sums(placed, [r.v for r in now], [r.v for r in others])
+        if not len(others) or change.min() >= -1e-9 * max(1.0, cost):
+            break
+        out, new = np.unravel_index(np.argmin(change), change.shape)
+        now[out], others[new] = others[new], now[out]
+    return now
+
+
+def exchange_sums(placed: DataFrame, held: list, offered: list) -> tuple[np.ndarray, float]:
+    """What the sum of distances of all clones gains by every exchange, and the sum now.
+
+    Blocks of clones are judged where they lie; a row for each exchange is summed.
+    """
+    held, offered = np.array(held), np.array(offered).reshape(-1, np.array(held).shape[1])
+
+    def judge(batches):
+        change, cost = np.zeros((len(held), len(offered))), 0.0
+        for batch in batches:
+            points = batch.column(0).flatten().to_numpy().reshape(-1, held.shape[1])
+            ones = np.ones(len(points))
+            change += exchange_costs(points, ones, held, offered)
+            cost += distances(points, held).min(axis=1).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([[cost, *change.ravel()]], pa.list_(pa.float64()))], ["sums"])
+
+    sums = placed.select("v").mapInArrow(judge, "sums array<double>").select(F.posexplode("sums").alias("place", "part"))
+    totals = {r.place: r.total for r in sums.groupBy("place").agg(F.sum("part").alias("total")).collect()}
+    change = np.array([totals[i + 1] for i in range(held.shape[0] * len(offered))])
+    return change.reshape(len(held), len(offered)), totals[0]
+
+
+def medoid_clusters(
     units: DataFrame,
     timepoints: int,
     clusters: int = N_CLUSTERS,
     correlation: str = "pearson",
     custom_order: Sequence[int] | None = None,
-    resolution: float | None = None,
+    cells: int = MEDOID_CELLS,
 ) -> DataFrame:
-    """Clusters around medoids; each cell goes to its nearest medoid."""
+    """Every clone with its trajectory, its ``medoid`` (a clone) and the ``distance`` to it."""
     projection = row_projection(units, timepoints, correlation)
-    placed = place(units, projection, resolution or cell_size(timepoints, MEDOID_CELLS))
+    placed = place(units, projection)
     if projection.clones == 0:
-        return no_labels(placed)
-    groups = group_points(placed, projection.width)
-    chosen = groups.points[medoids(groups.points, groups.weights, clusters)]
-    cluster = nearest_centre(groups.points, chosen)
-    numbers = custom_numbers(number_points(groups, cluster), custom_order, clusters)
-    return named(groups.assign(placed, cluster), numbers)
+        return no_labels(placed).select("*", F.lit(None).cast("string").alias("medoid"), F.lit(None).cast("double").alias("distance"))
+    placed = materialize(placed)
+    found = chosen_medoids(placed, projection, clusters, cells)
+    points = np.array([r.v for r in found])
+    assigned = nearest(placed, points, "cluster")
+    numbers = custom_numbers(first_clones(assigned), custom_order, clusters)
+    v = slots("v", projection.width)
+
+    def of_cluster(values: Sequence[Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("cluster") == i, value) for i, value in enumerate(values)])
+
+    return assigned.select(
+        CLONE,
+        of_cluster([F.lit(f"{TRAJ_PREFIX}{numbers[i]}") if i in numbers else F.lit(None) for i in range(len(found))]).alias(K),
+        of_cluster([F.lit(r[CLONE]) for r in found]).alias("medoid"),
+        F.sqrt(of_cluster([squared_distance(v, p) for p in points])).alias("distance"),
+    )
+
+
+def medoid_labels(
+    units: DataFrame,
+    timepoints: int,
+    clusters: int = N_CLUSTERS,
+    correlation: str = "pearson",
+    custom_order: Sequence[int] | None = None,
+    cells: int = MEDOID_CELLS,
+) -> DataFrame:
+    """Clusters around medoids; each clone goes to its nearest medoid."""
+    return medoid_clusters(units, timepoints, clusters, correlation, custom_order, cells).select(CLONE, K)
+
+
+def moved_centres(placed: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Means of the clones nearest to each centre; a centre without clones stays."""
+    means = [F.avg(c).alias(f"m{d}") for d, c in enumerate(slots("v", centres.shape[1]))]
+    out = centres.copy()
+    for row in nearest(placed, centres, "cluster").groupBy("cluster").agg(*means).collect():
+        out[row.cluster] = [row[f"m{d}"] for d in range(centres.shape[1])]
+    return out
 
 
 def principal_labels(
@@ -169,28 +250,28 @@ def principal_labels(
     timepoints: int,
     clusters: int = N_CLUSTERS,
     correlation: str = "pearson",
-    resolution: float | None = None,
+    cells: int = WARD_CELLS,
     passes: int = CONSOLIDATION_PASSES,
 ) -> DataFrame:
     """Ward clusters on principal components, consolidated by moving centres at most ``passes`` times.
 
+    Centres move to the mean of all their clones; each clone goes to its nearest centre.
     Numbered by the clusters' centres on the first axis.
     """
     projection = principal_projection(units, timepoints, correlation)
-    placed = place(units, projection, resolution or cell_size(timepoints, WARD_CELLS))
+    placed = place(units, projection)
     if projection.clones == 0:
         return no_labels(placed)
-    groups = group_points(placed, projection.width)
-    start = ward(groups.points, groups.weights, clusters)
-    centres = weighted_centres(groups.points, groups.weights, start)
+    placed = materialize(placed)
+    means = [F.avg(c) for c in slots("v", projection.width)]
+    start = ward_cells(placed, projection, clusters, cells).groupBy("cluster").agg(F.array(*means).alias("mean"))
+    centres = np.array([r.mean for r in sorted(start.collect())], dtype=float)
     for _ in range(passes):
-        moved, nearest = centres.copy(), nearest_centre(groups.points, centres)
-        moved[np.unique(nearest)] = weighted_centres(groups.points, groups.weights, nearest)
-        if np.allclose(moved, centres, rtol=0, atol=1e-12):
+        before, centres = centres, moved_centres(placed, centres)
+        if np.allclose(before, centres, rtol=0, atol=1e-12):
             break
-        centres = moved
     numbers = {int(c): i + 1 for i, c in enumerate(np.argsort(centres[:, 0], kind="stable"))}
-    return named(groups.assign(placed, nearest_centre(groups.points, centres)), numbers)
+    return named(nearest(placed, centres, "cluster"), numbers)
 
 
 def peak_labels(matrix: DataFrame, timepoints: int) -> DataFrame:
@@ -239,8 +320,9 @@ def labels_of(cells: DataFrame) -> DataFrame:
 
 
 def ordered_labels(labels: DataFrame) -> DataFrame:
-    """Labelled clones without ``Other``, sorted by trajectory then clone."""
-    return labels.filter(F.col(K) != OTHER).select(CLONE, K).distinct().orderBy(K, CLONE)
+    """Labelled clones without ``Other``, sorted by trajectory then clone, with their ``row`` in the heat map."""
+    kept = labels.filter(F.col(K) != OTHER).select(CLONE, K).distinct()
+    return ordered_rank(kept, [], [K, CLONE], rank="row").orderBy("row")
 
 
 def trajectory_sizes(labels: DataFrame) -> DataFrame:
