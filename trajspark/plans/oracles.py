@@ -7,6 +7,7 @@ from the Spark plans. The texts share common table expressions.
 from __future__ import annotations
 
 from trajspark.plans import catalog as q
+from trajspark.plans.clusterings import clustering_sql
 
 TIMES = "(VALUES (0), (3), (6), (9))"
 
@@ -650,4 +651,4 @@ WHERE place = 1 AND delta > 0.5""",
 
 def oracle_sql() -> dict[str, str]:
     parts = (SOURCES, CLEANING, CLONES, ABUNDANCE, CHANGE, SELECTION, VECTORS, TRAJECTORIES, AREA, COMPOSITION)
-    return {name: text for part in parts for name, text in part.items()}
+    return {name: text for part in parts for name, text in part.items()} | clustering_sql(LABELLED)
