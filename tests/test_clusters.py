@@ -325,3 +325,39 @@ def test_anchors_of_any_number(spark):
     assert got.count() == 1500 * 1500
     row = got.filter("clone_id = 'c00007' and anchor_id = 'c01400'").first()
     assert row.cor == pytest.approx(np.corrcoef(x[7], x[1400])[0, 1])
+
+
+@pytest.mark.parametrize("method, least", [("pearson", 0.9), ("pearson", 0.3), ("spearman", 0.99), ("kendall", 1.0)])
+def test_correlated_profiles_equal_all_pairs(spark, method, least):
+    x = random_profiles(150, seed=4, ties=True)
+    x = np.concatenate([x, np.repeat(x[:1], 60, axis=0), -x[:20]])
+    x = x[x.max(axis=1) > x.min(axis=1)]
+    units = vectors.unit_vectors(as_matrix(spark, x), 4, method)
+    width = profile_width(method, 4)
+    least -= 1e-9
+    m = explicit_correlation(x, method)
+    profile = {r.clone_id: r.profile for r in vectors.profile_members(units).collect()}
+    assert len(profile) == len(x)
+    names = [f"c{i:05d}" for i in range(len(x))]
+    want = {
+        (names[i], names[j])
+        for i in range(len(x))
+        for j in range(i + 1, len(x))
+        if abs(m[i, j]) >= least and profile[names[i]] != profile[names[j]]
+    }
+    got = {}
+    members = {}
+    for clone, of in profile.items():
+        members.setdefault(of, []).append(clone)
+    rows = vectors.correlated_profiles(units, width, least).collect()
+    for r in rows:
+        assert (r.clones, r.others) == (len(members[r.clone_id]), len(members[r.other_id]))
+        assert r.cor == pytest.approx(m[int(r.clone_id[1:]), int(r.other_id[1:])])
+        got |= {tuple(sorted((a, b))): r.cor for a in members[r.clone_id] for b in members[r.other_id]}
+    assert set(got) == want and len(rows) == len({(r.clone_id, r.other_id) for r in rows})
+
+
+def test_heat_map_rows(spark):
+    labels = spark.createDataFrame([("b", "Traj 2"), ("a", "Traj 2"), ("c", "Traj 1"), ("d", "Other")], "clone_id string, k string")
+    rows = cluster.ordered_labels(labels).collect()
+    assert [(r.row, r.clone_id, r.k) for r in rows] == [(1, "c", "Traj 1"), (2, "a", "Traj 2"), (3, "b", "Traj 2")]

@@ -8,8 +8,10 @@ form. Distances between rows of that matrix are distances between the short vect
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,11 +19,14 @@ from pyspark.sql import functions as F
 
 from trajspark.functions.profiles import CORRELATIONS, profile_width, varies
 from trajspark.functions.slots import any_null, dot, slot, slots, total, with_slots
+from trajspark.operators.joins import lookup_join
 from trajspark.schema import CLONE, K, require
 from trajspark.session import materialize
 
 EIGEN_FLOOR = 1e-12
 ANCHOR_BLOCK = 256
+#: Slots of a unit vector that make its cell in the search for correlated profiles.
+GRID_AXES = 3
 
 
 def abundance_matrix(vectors: DataFrame, width: int, fill_missing: bool = True) -> DataFrame:
@@ -223,6 +228,55 @@ def anchor_correlations(units: DataFrame, anchors: DataFrame, width: int) -> Dat
     return paired.select(CLONE, "anchor_id", _products("u", "a", width).alias("cor"))
 
 
+def profiles(units: DataFrame) -> DataFrame:
+    """Different unit vectors: the first ``clone_id`` that has one, ``u``, and the number of ``clones`` that share it."""
+    return defined(units).groupBy("u").agg(F.min(CLONE).alias(CLONE), F.count(F.lit(1)).alias("clones")).select(CLONE, "u", "clones")
+
+
+def profile_members(units: DataFrame) -> DataFrame:
+    """Every clone and its ``profile``, the first clone with the same unit vector."""
+    named = profiles(units).select("u", F.col(CLONE).alias("profile"))
+    return lookup_join(defined(units).select(CLONE, "u"), named, ["u"], "inner").select(CLONE, "profile")
+
+
+def correlated_profiles(units: DataFrame, width: int, min_abs_cor: float) -> DataFrame:
+    """Pairs of different profiles whose correlation is at least ``min_abs_cor`` or at most its negative.
+
+    ``clone_id`` and ``other_id`` (the later), ``clones`` and ``others`` that share them, ``cor``. Pairs of
+    clones follow from ``profile_members``; those that share a profile correlate by 1.
+
+    Such unit vectors, or one and the opposite of the other, are nearer than
+    ``sqrt(2 - 2 * min_abs_cor)``, so they lie in the same or neighbouring cells of that size
+    in their first ``GRID_AXES`` slots. Only such pairs meet; with the threshold their number
+    falls, and no table of all pairs is made.
+    """
+    if not 0 < min_abs_cor <= 1:
+        raise ValueError("min_abs_cor must be above 0 and at most 1")
+    axes = min(width, GRID_AXES)
+    # a little larger, for rounding
+    edge = math.sqrt(2 - 2 * min_abs_cor) + 1e-6
+    held = materialize(profiles(units))
+    u = slots("u", width)
+
+    def cell(values: Sequence[Column], step: Sequence[Column]) -> Column:
+        return F.array(*[F.floor(v / F.lit(edge)) + s for v, s in zip(values, step)])
+
+    steps = list(product((-1, 0, 1), repeat=axes))
+    each = F.explode(F.array(*[F.array(*[F.lit(s) for s in step]) for step in steps])).alias("step")
+    way = F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("way")
+    turned = held.select(CLONE, "u", "clones", way)
+    reached = turned.select("*", each).select(
+        CLONE, "u", "clones", "way", cell([F.col("way") * v for v in u[:axes]], slots("step", axes)).alias("cell")
+    )
+    zero = [F.lit(0)] * axes
+    other = held.select(
+        F.col(CLONE).alias("other_id"), F.col("u").alias("w"), F.col("clones").alias("others"), cell(u[:axes], zero).alias("cell")
+    )
+    met = reached.join(other, "cell").filter(F.col(CLONE) < F.col("other_id"))
+    paired = met.select(CLONE, "other_id", "clones", "others", "way", _products("u", "w", width).alias("cor"))
+    return paired.filter(F.col("cor") * F.col("way") >= F.lit(min_abs_cor)).drop("way")
+
+
 def row_distances(units: DataFrame, projection: Projection) -> DataFrame:
     """Per clone, the mean squared distance of its correlation row to all other rows.
 

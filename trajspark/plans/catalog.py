@@ -49,6 +49,8 @@ SAMPLE_SIZE = 50
 ALL_WEEKS = {"Baseline": 0} | {f"Follow Up {k}": 3 * k for k in range(-9, 10) if k}
 SEED = 19
 CUSTOM_ORDER = [3, 1, 4, 2]
+WARD_ORDER = [3, 1, 2, 6, 5, 4]
+MIN_ABS_COR = 0.95
 SELECTED = ["Traj 1", "Traj 3"]
 SOME_TREATMENTS = ["AFRICA", "ASIA", "EUROPE"]
 SOME_TYPES = ["AF", "NO", "RF", "AO"]
@@ -144,6 +146,28 @@ def stats_csv_roundtrip(spark, sf_dir):
     )
 
 
+def cells_reread(spark, sf_dir):
+    """Cells and allow-list written as files and read with their declared columns."""
+    cells, listed = shared_path(spark, "cells"), shared_path(spark, "allowlist")
+    testbed.raw_cells(spark, sf_dir).write.parquet(cells)
+    tables.write_csv(testbed.allowlist(spark, sf_dir), listed)
+    found = tables.read_cells(spark, cells).join(tables.read_allowlist(spark, listed), [PATIENT, TRB_AA], "left_semi")
+    return found.groupBy(PATIENT, TRB_AA, TIMEPOINT_LABEL, RESPONSE).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stage_roundtrip(spark, sf_dir):
+    rows = base_dynamics(spark, sf_dir)
+    return tables.save_stage(rows, shared_path(spark, "stage")).select(CLONE, TIMEPOINT, "n", *rounded("perc", "delta_c"))
+
+
+def observed_timepoints(spark, sf_dir):
+    """All weeks of the cells in their order."""
+    cells = whole_cells(spark, sf_dir)
+    order = abundance.observed_timepoints(cells, None)
+    place = F.array_position(F.array(*[F.lit(t) for t in order]), F.col(TIMEPOINT))
+    return cells.groupBy(TIMEPOINT).agg(F.count(F.lit(1)).alias("n")).withColumn("place", place)
+
+
 def run_summary(spark, sf_dir):
     return run(spark, sf_dir).summary()
 
@@ -207,6 +231,16 @@ def clone_key_aa(spark, sf_dir):
     return keyed.groupBy(CLONE).agg(F.count(F.lit(1)).alias("n"))
 
 
+def clone_assign_aa(spark, sf_dir):
+    cells = testbed.raw_cells(spark, sf_dir, shared_barcodes=True)
+    done = clones.assign_clones(cells, chains="aa")
+    return done.groupBy(BARCODE, CLONE).agg(F.count(F.lit(1)).alias("n"))
+
+
+def receptor_columns_dropped(spark, sf_dir):
+    return clones.drop_receptor_columns(testbed.raw_cells(spark, sf_dir)).drop("flagged", "mki67")
+
+
 def ambiguous_count(spark, sf_dir):
     return clones.ambiguous_cells(testbed.raw_cells(spark, sf_dir, shared_barcodes=True))
 
@@ -401,6 +435,21 @@ def corr_block_means(spark, sf_dir):
     return vectors.block_means(found.units, found.labels, WIDTH).select(K, "k_other", *rounded("mean_cor"))
 
 
+def corr_pairs(spark, sf_dir):
+    pairs = vectors.correlated_profiles(run(spark, sf_dir).units, WIDTH, MIN_ABS_COR)
+    return pairs.select(CLONE, "other_id", "clones", "others", *rounded("cor"))
+
+
+def corr_pairs_kendall(spark, sf_dir):
+    units = run(spark, sf_dir, correlation="kendall").units
+    pairs = vectors.correlated_profiles(units, profile_width("kendall", WIDTH), MIN_ABS_COR)
+    return pairs.select(CLONE, "other_id", "clones", "others", *rounded("cor"))
+
+
+def corr_profile_members(spark, sf_dir):
+    return vectors.profile_members(run(spark, sf_dir).units)
+
+
 # trajectories
 
 
@@ -424,6 +473,38 @@ def traj_hclust_kendall(spark, sf_dir):
     return _labels(spark, sf_dir, "hclust", correlation="kendall")
 
 
+def traj_hclust_custom(spark, sf_dir):
+    return _labels(spark, sf_dir, "hclust", custom_order=WARD_ORDER)
+
+
+def traj_pam_custom(spark, sf_dir):
+    return _labels(spark, sf_dir, "pam", custom_order=WARD_ORDER)
+
+
+def traj_medoids(spark, sf_dir):
+    found = cluster.medoid_clusters(run(spark, sf_dir).units, WIDTH)
+    return found.groupBy(K, "medoid").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 6).alias("distance")
+    )
+
+
+def traj_ward_loss(spark, sf_dir):
+    return cluster.ward_loss(run(spark, sf_dir).units, WIDTH).select("clones", *rounded("lost", "within"))
+
+
+def traj_sampled(spark, sf_dir):
+    """Trajectories of listed clones in samples of equal size."""
+    config = Config(
+        method="absolute", timepoints=TIMEPOINTS, downsample=True, min_sample_cells=FLOOR, seed=SEED, min_cells=2
+    )
+    found = find_trajectories(base_cells(spark, sf_dir), config, allowlist=testbed.allowlist(spark, sf_dir))
+    return found.labels.select(CLONE, K)
+
+
+def heatmap_rows(spark, sf_dir):
+    return cluster.ordered_labels(run(spark, sf_dir).labels)
+
+
 def traj_absolute(spark, sf_dir):
     return _labels(spark, sf_dir, "absolute")
 
@@ -631,6 +712,9 @@ def ctype_peak_label(spark, sf_dir):
 QUERIES: tuple[Query, ...] = (
     expr_gene_lookup,
     stats_csv_roundtrip,
+    cells_reread,
+    stage_roundtrip,
+    observed_timepoints,
     run_summary,
     timepoint_recode,
     exclude_subjects,
@@ -643,6 +727,8 @@ QUERIES: tuple[Query, ...] = (
     clone_assign,
     clone_key_nt,
     clone_key_aa,
+    clone_assign_aa,
+    receptor_columns_dropped,
     ambiguous_count,
     ambiguity_combine,
     ambiguity_drop,
@@ -676,10 +762,19 @@ QUERIES: tuple[Query, ...] = (
     corr_anchor_rows,
     corr_row_distance,
     corr_block_means,
+    corr_pairs,
+    corr_pairs_kendall,
+    corr_profile_members,
     traj_hclust,
     traj_pam,
     traj_hcpc,
     traj_hclust_kendall,
+    traj_hclust_custom,
+    traj_pam_custom,
+    traj_medoids,
+    traj_ward_loss,
+    traj_sampled,
+    heatmap_rows,
     traj_absolute,
     traj_relabel,
     label_cells,

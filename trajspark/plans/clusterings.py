@@ -1,4 +1,4 @@
-"""SQL of the clusterings: greedy joins, exchanges and moving centres as recursive tables.
+"""SQL of the clusterings and profiles: greedy joins, exchanges and moving centres as recursive tables.
 
 Distances between rows of the correlation matrix are ``(u_i - u_j)' G (u_i - u_j)`` for the
 unit vectors ``u`` of the clones and ``G`` the sum of ``u u'``.
@@ -152,16 +152,51 @@ def _labels(method: str, correlation: str = "pearson") -> str:
     return ",\n".join([found, correlation_rows(width), cut, number])
 
 
-def clustering_sql(labelled: str) -> dict[str, str]:
+def profile_sql(labelled: str, least: float) -> dict[str, str]:
+    """SQL of the queries on clones that share or nearly share a vector."""
+
+    def pairs(correlation: str) -> str:
+        width, found = units(correlation)
+        product = columns(width, "a.u{d} * b.u{d}", " + ")
+        return f"""WITH {labelled},
+{found}
+SELECT clone_id, other_id, clones, others, round(cor, 6) AS cor FROM (
+  SELECT a.first AS clone_id, b.first AS other_id, a.w AS clones, b.w AS others, {product} AS cor
+  FROM p a JOIN p b ON a.first < b.first) WHERE abs(cor) >= {least}"""
+
+    return {
+        "corr_pairs": pairs("pearson"),
+        "corr_pairs_kendall": pairs("kendall"),
+        "corr_profile_members": f"""WITH {labelled},
+{units('pearson')[1]}
+SELECT clone_id, first AS profile FROM member JOIN p USING (i)""",
+    }
+
+
+def clustering_sql(labelled: str, custom_order: list[int]) -> dict[str, str]:
     """SQL of the clustering queries; ``labelled`` are the tables that end in ``scaled`` shares."""
-    select = "SELECT clone_id, 'Traj ' || number AS k FROM member JOIN named USING (i)"
+    plain = "SELECT clone_id, 'Traj ' || number AS k FROM member JOIN named USING (i)"
+    position = " ".join(f"WHEN {c} THEN {place}" for place, c in enumerate(custom_order, 1))
+    moved = f"SELECT clone_id, 'Traj ' || CASE number {position} END AS k FROM member JOIN named USING (i)"
+    medoids = """SELECT 'Traj ' || number AS k, m.first AS medoid, count(*) AS n, round(sum(d), 6) AS distance
+FROM member JOIN named USING (i) JOIN cut USING (i) JOIN p m ON m.i = cut.c GROUP BY ALL"""
+    width, _ = units("pearson")
+    inner = form(width, "p.u{d} - t.u{d}", "p.u{d} - t.u{d}", "g.g")
+    means = columns(width, "sum(p.w * u{d}) / sum(p.w) AS u{d}")
+    loss = f"""SELECT CAST(n AS BIGINT) AS clones, CAST(0 AS DOUBLE) AS lost, round(
+  (SELECT sum(p.w * ({inner})) FROM p JOIN cut USING (i) JOIN (SELECT c, {means} FROM cut JOIN p USING (i) GROUP BY c) t USING (c), g)
+  / (SELECT sum(p.w * ({inner})) FROM p, (SELECT {means} FROM p) t, g), 6) AS within FROM g"""
 
-    def sql(method: str, correlation: str = "pearson", select: str = select) -> str:
+    def sql(method: str, correlation: str = "pearson", select: str = plain) -> str:
         return f"WITH RECURSIVE {labelled},\n{_labels(method, correlation)}\n{select}"
 
     return {
         "traj_hclust": sql("hclust"),
         "traj_hclust_kendall": sql("hclust", "kendall"),
+        "traj_hclust_custom": sql("hclust", select=moved),
         "traj_pam": sql("pam"),
+        "traj_pam_custom": sql("pam", select=moved),
         "traj_hcpc": sql("hcpc"),
+        "traj_medoids": sql("pam", select=medoids),
+        "traj_ward_loss": sql("hclust", select=loss),
     }

@@ -7,7 +7,7 @@ from the Spark plans. The texts share common table expressions.
 from __future__ import annotations
 
 from trajspark.plans import catalog as q
-from trajspark.plans.clusterings import clustering_sql
+from trajspark.plans.clusterings import clustering_sql, profile_sql
 
 TIMES = "(VALUES (0), (3), (6), (9))"
 
@@ -142,6 +142,17 @@ SOURCES = {
         f"{BASE},\n{STATS}",
         f"SELECT patient_alias, treatment, clone_id, timepoint, n, n_max, {r('perc')}, {r('delta_c')}, {FOLD_CHANGE} FROM dyn",
     ),
+    "cells_reread": over(
+        f"{CELLS},\n{ALLOWLIST}",
+        """SELECT patient_alias, trb_aa AS "TRB_chain_cdr3", timepoint_label, response, count(*) AS n
+FROM cells JOIN allowed USING (patient_alias, trb_aa) GROUP BY ALL""",
+    ),
+    "stage_roundtrip": over(
+        f"{BASE},\n{STATS}", f"SELECT clone_id, timepoint, n, {r('perc')}, {r('delta_c')} FROM dyn"
+    ),
+    "observed_timepoints": over(
+        WHOLE, "SELECT timepoint, count(*) AS n, row_number() OVER (ORDER BY timepoint) AS place FROM base GROUP BY timepoint"
+    ),
     "run_summary": over(
         LABELLED,
         """SELECT 'cells' AS measure, count(*) AS value FROM base
@@ -221,6 +232,21 @@ CLONES = {
   SELECT CASE WHEN position('0' IN trb_aa) = 0 THEN patient_alias || ':' || trb_aa END AS clone_id FROM cells)
 GROUP BY clone_id""",
     ),
+    "clone_assign_aa": over(
+        f"""{CELLS},
+keyed AS (
+  SELECT short_barcode AS barcode,
+    CASE WHEN position('0' IN trb_aa) = 0 THEN patient_alias || ':' || trb_aa END AS clone_id FROM cells)""",
+        """SELECT k.barcode, j.clone_id, count(*) AS n FROM keyed k LEFT JOIN (
+  SELECT barcode, string_agg(clone_id, '|' ORDER BY clone_id) AS clone_id
+  FROM (SELECT DISTINCT barcode, clone_id FROM keyed WHERE clone_id IS NOT NULL) GROUP BY barcode) j
+  ON j.barcode = k.barcode
+GROUP BY k.barcode, j.clone_id""",
+    ),
+    "receptor_columns_dropped": over(
+        CELLS,
+        "SELECT barcode, patient_alias, timepoint_label, treatment, response, ctype AS metaclusters_exh FROM cells",
+    ),
     "ambiguous_count": over(
         KEYED, "SELECT count(*) - count(DISTINCT barcode) AS n_ambiguous FROM keyed WHERE clone_id IS NOT NULL"
     ),
@@ -415,7 +441,19 @@ FROM pairs JOIN labels a ON a.clone_id = i JOIN labels b ON b.clone_id = j GROUP
 
 RELABEL = " ".join(f"WHEN 'Traj {old}' THEN 'Traj {new}'" for new, old in enumerate(q.CUSTOM_ORDER, 1))
 
+# samples of equal size, and clones on the allow-list only
+SAMPLED_LABELS = f"""{FLOOR_BASE.replace(",\nbase AS (", ",\nenough AS (")},
+base AS (
+  SELECT * EXCLUDE (place) FROM (
+    SELECT *, row_number() OVER (PARTITION BY patient_alias, timepoint ORDER BY md5(barcode || '|{q.SEED}')) AS place
+    FROM enough) WHERE place <= {q.FLOOR}),
+{STATS},
+{ALLOWLIST},
+{LABELS.replace("s.n_max >= 5", "s.n_max >= 2 AND (s.patient_alias, s.trb_aa) IN (SELECT patient_alias, trb_aa FROM allowed)")}"""
+
 TRAJECTORIES = {
+    "traj_sampled": over(SAMPLED_LABELS, "SELECT clone_id, k FROM labels"),
+    "heatmap_rows": over(LABELLED, "SELECT clone_id, k, row_number() OVER (ORDER BY k, clone_id) AS row FROM labels"),
     "traj_absolute": over(LABELLED, "SELECT clone_id, k FROM labels"),
     "traj_relabel": over(LABELLED, f"SELECT clone_id, CASE k {RELABEL} ELSE k END AS k FROM labels"),
     "label_cells": over(
@@ -651,4 +689,4 @@ WHERE place = 1 AND delta > 0.5""",
 
 def oracle_sql() -> dict[str, str]:
     parts = (SOURCES, CLEANING, CLONES, ABUNDANCE, CHANGE, SELECTION, VECTORS, TRAJECTORIES, AREA, COMPOSITION)
-    return {name: text for part in parts for name, text in part.items()} | clustering_sql(LABELLED)
+    return {name: text for part in parts for name, text in part.items()} | clustering_sql(LABELLED, q.WARD_ORDER) | profile_sql(LABELLED, q.MIN_ABS_COR)
