@@ -44,10 +44,11 @@ def test_ordered_rank_equals_window(fact, partition):
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
 
 
+@pytest.mark.parametrize("largest", [3, 100_000])
 @pytest.mark.parametrize("size", [1, 7, 150, None])
-def test_sample_equals_window(fact, size):
+def test_sample_equals_window(fact, size, largest):
     cells = fact.select("k", F.col("id").cast("string").alias("barcode"))
-    got = ordering.take_per_group(cells.repartition(6), ["k"], size, seed=5, digits=1)
+    got = ordering.take_per_group(cells.repartition(6), ["k"], size, seed=5, largest=largest)
     place = F.row_number().over(Window.partitionBy("k").orderBy(ordering.sample_order(5)))
     smallest = min(r["count"] for r in cells.groupBy("k").count().collect())
     want = cells.withColumn("p", place).filter(F.col("p") <= (size or smallest)).drop("p")
@@ -57,7 +58,38 @@ def test_sample_equals_window(fact, size):
 def test_sample_with_repeated_barcodes(spark):
     rows = [("a", "b1", i) for i in range(5)] + [("a", "b2", 9), ("b", "b1", 1), ("b", "b1", 1), ("b", "b1", 1)]
     cells = spark.createDataFrame(rows, "k string, barcode string, v int")
-    for size in (1, 2, 3):
-        got = ordering.take_per_group(cells.repartition(3), ["k"], size, seed=5)
+    for size, largest in ((1, 9), (2, 9), (3, 9), (2, 1)):
+        got = ordering.take_per_group(cells.repartition(3), ["k"], size, seed=5, largest=largest)
         counts = {r["k"]: r["count"] for r in got.groupBy("k").count().collect()}
         assert counts == {"a": size, "b": size}
+
+
+def test_a_sample_scans_its_table_once(spark, fact):
+    cells = fact.select("k", F.col("id").cast("string").alias("barcode"))
+    got = ordering.take_per_group(cells, ["k"], 7, seed=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("WindowGroupLimit") >= 4
+
+
+def test_one_barcode_in_most_rows(spark):
+    rows = [("a", "b1", i % 50) for i in range(4000)] + [("a", f"c{i}", i) for i in range(300)]
+    cells = spark.createDataFrame(rows, "k string, barcode string, v int").repartition(5)
+    for size in (5, 1000, 4100):
+        kept = ordering.take_per_group(cells, ["k"], size, seed=5)
+        again = ordering.take_per_group(cells.repartition(2), ["k"], size, seed=5, largest=3)
+        assert kept.count() == size
+        assert sorted(kept.collect()) == sorted(again.collect())
+
+
+def test_cuts_are_read_by_column_and_removed(spark):
+    from pathlib import Path
+
+    from trajspark import session
+
+    session.remove_cuts(spark)
+    cut = session.materialize(spark.range(100).selectExpr("id", "id * 2 as twice"))
+    scan = cut.select("twice")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in scan and "id#" not in scan
+    folder = Path(cut.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and session.remove_cuts(spark) == 1 and not folder.exists()
+    assert session.remove_cuts(spark) == 0

@@ -16,6 +16,12 @@ from trajspark.schema import BARCODE, require
 from trajspark.session import materialize
 
 
+#: A larger sample of a group is taken by ranks in slices.
+LARGEST_SAMPLE = 100_000
+#: Parts of a group that are sampled before the group is.
+SAMPLE_SALTS = 32
+
+
 def ordered_rank(
     df: DataFrame,
     partition: Sequence[str],
@@ -71,49 +77,37 @@ def sample_order(seed: int) -> Column:
     return F.md5(F.concat(F.col(BARCODE), F.lit(f"|{seed}")))
 
 
-def take_per_group(df: DataFrame, by: Sequence[str], size: int | None, seed: int, digits: int = 3) -> DataFrame:
+def take_per_group(
+    df: DataFrame, by: Sequence[str], size: int | None, seed: int, largest: int = LARGEST_SAMPLE
+) -> DataFrame:
     """Keep ``size`` random rows of every group; all rows of a smaller group.
 
-    ``size=None`` takes as many rows of every group as the smallest group has.
+    ``size=None`` takes as many rows of every group as the smallest group has; the table is
+    then written once, and counted and sampled from there.
 
-    The order is the digest of the barcode, so the same rows come out at any
-    partitioning. No group is sorted as a whole: a histogram over the first ``digits``
-    hex digits of the digest tells in which bucket the last wanted row of a group lies,
-    and only the rows of that bucket are ranked. Rows with one barcode are ordered by their
-    other columns.
+    The order is the digest of the barcode, then of the whole row, so the same rows come out
+    at any partitioning. A sample is made in one pass: every partition keeps its first rows
+    of a group, these are merged in ``SAMPLE_SALTS`` parts of the group, then the parts. So no
+    task sees more of a group than a few samples. Samples of more than ``largest`` rows
+    come from ranks in range slices instead.
     """
     require(df, BARCODE, *by)
-    # as one struct, null keys are equal to each other and survive the joins
-    group, digest = F.struct(*by), sample_order(seed)
-    keyed = df.select(group.alias("_group"), digest.alias("_digest"))
-    keyed = keyed.withColumn("_bucket", F.substring("_digest", 1, digits))
-
-    histogram = materialize(keyed.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_rows")))
-    group_sizes = histogram.groupBy("_group").agg(F.sum("_rows").alias("n"))
-    target = F.lit(size) if size is not None else group_sizes.agg(F.min("n")).scalar()
-    wanted = group_sizes.select("_group", target.cast("bigint").alias("_size"))
-    up_to = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        histogram.withColumn("_upto", F.sum("_rows").over(up_to))
-        .join(wanted, "_group")
-        .filter((F.col("_upto") >= F.col("_size")) & (F.col("_upto") - F.col("_rows") < F.col("_size")))
-        .select("_group", "_bucket", (F.col("_size") - F.col("_upto") + F.col("_rows")).alias("_need"))
-    )
-
-    in_edge = lookup_join(keyed, edge, ["_group", "_bucket"], "inner")
-    by_digest = Window.partitionBy("_group").orderBy("_digest")
-    ranked = in_edge.withColumn("_place", F.row_number().over(by_digest)).withColumn("_first", F.rank().over(by_digest))
-    last = ranked.filter(F.col("_place") == F.col("_need")).select(
-        "_group", F.col("_digest").alias("_last"), (F.col("_need") - F.col("_first") + 1).alias("_ties")
-    )
-    bound = wanted.join(last, "_group", "left").select("_group", "_size", "_last", "_ties")
-
-    marked = df.withColumn("_group", group).withColumn("_digest", digest)
-    kept = lookup_join(marked, bound, ["_group"], "inner").filter(
-        (F.col("_size") > 0) & (F.col("_last").isNull() | (F.col("_digest") <= F.col("_last")))
-    )
-    kept = materialize(kept.withColumn("_tied", F.coalesce(F.col("_digest") == F.col("_last"), F.lit(False))))
-    # rows that share the last barcode: by a digest of the whole row
-    order = Window.partitionBy("_group").orderBy(F.xxhash64(*df.columns))
-    tied = kept.filter("_tied").withColumn("_place", F.row_number().over(order)).filter("_place <= _ties")
-    return kept.filter("not _tied").select(*df.columns).union(tied.select(*df.columns))
+    # as one struct, null keys are equal to each other
+    group = F.struct(*by)
+    if size is None:
+        df = materialize(df)
+        sizes = df.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("n"))
+        size = sizes.agg(F.min("n")).first()[0] or 0
+    row = F.xxhash64(*df.columns)
+    keyed = df.withColumns({"_group": group, "_digest": sample_order(seed), "_row": row})
+    if size > largest:
+        # equal rows are told apart, as the order must be unique
+        numbered = keyed.withColumn("_number", F.monotonically_increasing_id())
+        ranked = ordered_rank(numbered, ["_group"], ["_digest", "_row", "_number"], rank="_place")
+        return ranked.filter(F.col("_place") <= size).select(*df.columns)
+    order = ["_digest", "_row"]
+    parts = Window.partitionBy("_group", F.pmod("_row", F.lit(SAMPLE_SALTS))).orderBy(*order)
+    whole = Window.partitionBy("_group").orderBy(*order)
+    firsts = keyed.withColumn("_place", F.row_number().over(parts)).filter(F.col("_place") <= size)
+    kept = firsts.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= size)
+    return kept.select(*df.columns)

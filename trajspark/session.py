@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,8 +19,6 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "tra
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.checkpoint.compress", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -53,10 +52,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Cuts of this process by application; they go when it ends, or with ``remove_cuts``.
+_cuts: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there.
+    """Compute ``df`` once into a Parquet table in the shared folder and go on from there.
+
+    For tables that several later steps read: they read the columns they need, and losing
+    executors costs no more than their tasks.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    _cuts.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    For tables that several later steps read; survives the loss of executors.
+
+def remove_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` has written for this application; returns how many.
+
+    Call it when the results that start from them are written or no longer needed.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    paths = _cuts.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
+@atexit.register
+def _remove_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        remove_cuts(spark)
