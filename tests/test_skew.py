@@ -1,12 +1,13 @@
 """Operators that split large groups give the same as the plain forms."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trajspark.operators import joins, ordering
+from trajspark.operators import clones, joins, ordering
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +94,25 @@ def test_cuts_are_read_by_column_and_removed(spark):
     folder = Path(cut.inputFiles()[0].removeprefix("file://")).parent
     assert folder.exists() and session.remove_cuts(spark) == 1 and not folder.exists()
     assert session.remove_cuts(spark) == 0
+
+
+def test_a_barcode_with_a_million_clones(spark):
+    hot = spark.range(1_000_000).selectExpr("'hot' as barcode", "concat('P:', lpad(id, 7, '0')) as clone_id")
+    few = spark.createDataFrame([("x", "P:2"), ("x", "P:1"), ("x", "P:2"), ("y", None), ("z", "P:3")], "barcode string, clone_id string")
+    joint = clones.combined_clones(hot.union(hot.limit(1000)).union(few))
+    rows = {r.barcode: (r.n, r.first, r.last) for r in joint.selectExpr(
+        "barcode", "size(split(clone_id, '[|]')) as n", "substring_index(clone_id, '|', 1) as first", "substring_index(clone_id, '|', -1) as last"
+    ).collect()}
+    assert rows == {"hot": (1_000_000, "P:0000000", "P:0999999"), "x": (2, "P:1", "P:2"), "z": (1, "P:3", "P:3")}
+    text = joint.filter("barcode = 'hot'").select(F.sha2("clone_id", 256).alias("h")).first().h
+    want = "|".join(f"P:{i:07d}" for i in range(1_000_000))
+    assert text == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_combined_keys_too_long_to_broadcast(spark, monkeypatch):
+    rows = [("b1", "P", "a", "b"), ("b1", "P", "c", "d"), ("b1", "P", None, "d"), ("b2", "P", "a", "b"), (None, "P", "a", "b")]
+    cells = spark.createDataFrame(rows, "barcode string, patient_alias string, TRA_chain_cdr3_nt string, TRB_chain_cdr3_nt string")
+    plain = sorted(clones.assign_clones(cells).collect(), key=str)
+    monkeypatch.setattr(clones, "BROADCAST_BYTES", 0)
+    assert sorted(clones.assign_clones(cells).collect(), key=str) == plain
+    assert [r.clone_id for r in plain if r.barcode == "b1"] == ["P:a:b|P:c:d"] * 3

@@ -168,10 +168,11 @@ def with_cell(gridded: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
 
 
 def representatives(gridded: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """For every leaf the clone nearest to its mean, and how many clones the leaf has."""
-    held = with_cell(gridded, found, "leaf", "mean")
+    """For every leaf the clone nearest to its mean, how many clones the leaf has, and the share ``lost``."""
+    held = with_cell(gridded, found, "leaf", "mean", "lost")
     gap = total([(a - b) * (a - b) for a, b in zip(slots("v", width), slots("mean", width))])
     nearest = F.min(F.struct(gap.alias("gap"), F.col(CLONE), F.col("v")))
-    return held.groupBy("leaf").agg(nearest.alias("best"), F.count(F.lit(1)).cast("double").alias("weight")).select(
-        F.col(f"best.{CLONE}").alias(CLONE), F.col("best.v").alias("v"), "weight"
+    clones = F.count(F.lit(1)).cast("double").alias("weight")
+    return held.groupBy("leaf").agg(nearest.alias("best"), clones, F.max("lost").alias("lost")).select(
+        F.col(f"best.{CLONE}").alias(CLONE), F.col("best.v").alias("v"), "weight", "lost"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.operators.joins import lookup_join
+from trajspark.operators.ordering import ordered_rank
 from trajspark.schema import BARCODE, CLONE, PATIENT, TRA_NT, TRB_AA, TRB_NT, require
 from trajspark.session import materialize
 
@@ -18,6 +19,11 @@ COMBINED = "|"
 MISSING_AA = "0"
 RECEPTOR_COLUMNS = r"^TR[A,B]|TCR"
 
+#: Clones of a barcode that are joined in one step.
+RUN_CLONES = 1000
+#: Combined keys beyond this size are not broadcast.
+BROADCAST_BYTES = 64 << 20
+
 
 def nucleotide_key(missing_chain: str = "drop") -> Column:
     """Patient and both nucleotide chains.
@@ -65,9 +71,17 @@ def ambiguous_cells(cells: DataFrame, chains: str = "nt", missing_chain: str = "
 
 
 def combined_clones(keyed: DataFrame) -> DataFrame:
-    """Per barcode, its distinct clones in order, joined with ``|``."""
+    """Per barcode, its distinct clones in order, joined with ``|``.
+
+    A barcode may have any number of clones: pairs are made distinct and ranked without
+    gathering a barcode, ``RUN_CLONES`` neighbours are joined at a time, then the runs.
+    """
     pairs = keyed.filter(F.col(CLONE).isNotNull()).select(BARCODE, CLONE).distinct()
-    return pairs.groupBy(BARCODE).agg(F.array_join(F.array_sort(F.collect_set(CLONE)), COMBINED).alias(CLONE))
+    ranked = ordered_rank(pairs, [BARCODE], [CLONE], rank="_place")
+    run = F.floor((F.col("_place") - 1) / RUN_CLONES).alias("_run")
+    runs = ranked.groupBy(BARCODE, run).agg(F.array_join(F.array_sort(F.collect_list(CLONE)), COMBINED).alias("_text"))
+    listed = F.array_sort(F.collect_list(F.struct("_run", "_text")))
+    return runs.groupBy(BARCODE).agg(F.array_join(F.transform(listed, lambda r: r["_text"]), COMBINED).alias(CLONE))
 
 
 def assign_clones(
@@ -109,8 +123,11 @@ def assign_clones(
             F.when(F.col("_repeated").isNull(), F.col(CLONE)).alias(CLONE),
         )
     own = lookup_join(keyed.select(BARCODE, CLONE), repeated, [BARCODE], "left_semi", rows=rows)
-    joint = combined_clones(own).withColumnRenamed(CLONE, "_joint")
-    return lookup_join(keyed, joint, [BARCODE], "left").select(
+    joint = materialize(combined_clones(own).withColumnRenamed(CLONE, "_joint"))
+    size = joint.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("_joint")), F.lit(0)).alias("bytes")).first()
+    # rows of any length: by their bytes, not only by their number
+    most = None if size["bytes"] <= BROADCAST_BYTES else 0
+    return lookup_join(keyed, joint, [BARCODE], "left", max_rows=most, rows=size["rows"]).select(
         *[c for c in keyed.columns if c != CLONE], F.coalesce("_joint", CLONE).alias(CLONE)
     )
 

@@ -33,6 +33,8 @@ MEDOID_CELLS = 2_500
 #: Clones that may take a medoid's place, tried with the distances of all clones.
 CANDIDATES = 256
 EXCHANGES = 20
+#: Share of squares within cells that is rounding.
+EXACT_LOSS = 1e-12
 CONSOLIDATION_PASSES = 10
 METHODS = ("hclust", "pam", "hcpc", "absolute")
 
@@ -158,11 +160,12 @@ def chosen_medoids(
         others = np.argsort(change, kind="stable")[: min(candidates, len(change) - len(found))]
         return table.take(np.append(found, others)).append_column("place", pa.array(np.arange(len(found) + len(others))))
 
-    schema = f"{CLONE} string, v array<double>, weight double, place bigint"
+    schema = f"{CLONE} string, v array<double>, weight double, lost double, place bigint"
     rows = standing.groupBy(F.lit(1).alias("all")).applyInArrow(choose, schema).orderBy("place").collect()
     count = min(clusters, len(rows))
     now, others = rows[:count], rows[count:]
-    for _ in range(EXCHANGES):
+    # where each different clone was a cell of its own, nothing is left to gain
+    for _ in range(EXCHANGES if rows[0].lost > EXACT_LOSS else 0):
         change, cost = exchange_sums(placed, [r.v for r in now], [r.v for r in others])
         if not len(others) or change.min() >= -1e-9 * max(1.0, cost):
             break
