@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.names import is_listed, trajectory_number
+from trajspark.functions.slots import slots, total
 from trajspark.operators.abundance import clone_stats
 from trajspark.operators.joins import lookup_join
 from trajspark.operators.ordering import ordered_rank
@@ -31,14 +32,14 @@ def drop_last_trajectory(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(trajectory_number() < last, F.lit(True)))
 
 
-def ranked_clones(clones: DataFrame) -> DataFrame:
-    """Labelled clones with ``clone_rank``, their place by size within the trajectory."""
-    return ordered_rank(labelled(clones), [K], ["n_max", CLONE], rank="clone_rank")
+def ranked_clones(clones: DataFrame, running: Mapping[str, str] | None = None) -> DataFrame:
+    """Labelled clones with ``clone_rank``, their place by size within the trajectory, and running sums."""
+    return ordered_rank(labelled(clones), [K], ["n_max", CLONE], rank="clone_rank", running=running)
 
 
-def stacked_clones(clones: DataFrame) -> DataFrame:
+def stacked_clones(clones: DataFrame, running: Mapping[str, str] | None = None) -> DataFrame:
     """``ranked_clones`` with ``clone_ord``, the place over all trajectories."""
-    ranked = materialize(ranked_clones(clones))
+    ranked = materialize(ranked_clones(clones, running))
     # one row per trajectory, so the window without partitions is small
     sizes = ranked.groupBy(K).agg(F.max("clone_rank").alias("_size"))
     earlier = Window.orderBy(trajectory_number(), K).rowsBetween(Window.unboundedPreceding, -1)
@@ -47,9 +48,9 @@ def stacked_clones(clones: DataFrame) -> DataFrame:
     return placed.withColumn("clone_ord", F.col("_before") + F.col("clone_rank")).drop("_before")
 
 
-def long_shares(clones: DataFrame, timepoints: Sequence[int]) -> DataFrame:
+def long_shares(clones: DataFrame, timepoints: Sequence[int], extra: Sequence[str] = ()) -> DataFrame:
     """Long rows of ranked clones, with ``rank_cl``, the row's place by size in its trajectory."""
-    rows = clone_stats(clones, timepoints, present(clones, ["clone_rank", "clone_ord"]))
+    rows = clone_stats(clones, timepoints, [*present(clones, ["clone_rank", "clone_ord"]), *extra])
     place = F.array_position(F.array(*[F.lit(t) for t in timepoints]), F.col(TIMEPOINT))
     return rows.withColumn("rank_cl", (F.col("clone_rank") - 1) * len(timepoints) + place)
 
@@ -172,9 +173,19 @@ def patient_order(clones: DataFrame, treatments: Sequence[str] | None = None) ->
 def running_labels(clones: DataFrame, timepoints: Sequence[int], week: int = LABEL_WEEK, **filters) -> DataFrame:
     """Rows of one week with the running share within the trajectory, in stacking order.
 
-    The sum runs over all rows of the trajectory that pass the filters.
+    The sum runs over all rows of the trajectory that pass the filters. One pass ranks the
+    clones and sums what each adds; the sum at a row is that of the clones before it and of
+    the clone's own rows up to the week.
     """
-    chosen = filter_clones(stacked_clones(clones), **filters)
-    rows = long_shares(chosen, timepoints).filter(F.col("perc").isNotNull())
-    summed = ordered_rank(rows, [K], ["clone_ord", TIMEPOINT], rank="_row", running={"csum": "perc"})
-    return summed.filter(F.col(TIMEPOINT) == week).drop("_row")
+    shares = [F.coalesce(p, F.lit(0.0)) for p in slots("perc", len(timepoints))]
+    held = clones.withColumn("_adds", total(shares))
+    if filters:
+        chosen = filter_clones(clones, **filters).select(CLONE, F.lit(True).alias("_chosen"))
+        held = held.join(chosen, CLONE, "left").withColumn("_adds", F.when(F.col("_chosen"), F.col("_adds")).otherwise(0.0))
+    stacked = stacked_clones(held, running={"_upto": "_adds"})
+    if filters:
+        stacked = stacked.filter("_chosen").drop("_chosen")
+    later = total([F.lit(0.0), *[s for t, s in zip(timepoints, shares) if t > week]])
+    summed = stacked.withColumn("csum", F.col("_upto") - later)
+    rows = long_shares(summed, timepoints, extra=("csum",)).filter(F.col("perc").isNotNull())
+    return rows.filter(F.col(TIMEPOINT) == week)
