@@ -1,16 +1,16 @@
 """URL filters by a sorted digest array.
 
 The entries of a list, each a host and the start of a path, are hashed with 64-bit xxhash
-and sorted. The array, with the entries' full strings behind it, is one file of bounded
-size that Spark hands to every executor, where it is mapped into memory. For every URL the
-keys of its host, of all parent domains and of the path starts that entries have are
+and sorted. The array, with the entries' full strings behind it, is cut by ranges of keys
+into files of bounded size that Spark hands to every executor, where they are mapped into
+memory; a list may have any number of files. For every URL the keys of its host, of all parent domains and of the path starts that entries have are
 looked up by one vectorised binary search per batch. A hit counts only if the stored
 string is the same. Among the hits the longest entry wins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from trajspark.llm.tables import map_arrow
 from trajspark.session import shared_path
 
-MAX_ENTRIES = 1_000_000
+#: Entries of one file; more than these only where their keys are equal.
+SHARD_ENTRIES = 1_000_000
 
 # The rules, with their verdicts.
 RULES = (
@@ -53,14 +54,23 @@ def digest(entry: str) -> int:
     return xxhash.xxh64_intdigest(entry.encode())
 
 
-def build(entries: Sequence[str]) -> bytes:
-    """The sorted digest array of ``entries``: their number, keys, places, ends and strings."""
-    keys = np.array([digest(e) for e in entries], dtype=np.uint64)
+def build(entries: Sequence[str], codes: Sequence[int], shard: int = SHARD_ENTRIES) -> Iterator[tuple[int, bytes]]:
+    """The sorted digest array of ``entries`` in files, each with its first key.
+
+    A file has the number of its entries, their keys, ``codes`` (above 0), ends and strings.
+    """
+    keys = np.fromiter(map(digest, entries), dtype=np.uint64, count=len(entries))
     order = np.argsort(keys, kind="stable")
-    stored = [entries[i].encode() for i in order]
-    ends = np.cumsum([len(s) for s in stored], dtype=np.uint64)
-    head = (np.array([len(entries)], np.uint64), keys[order], order.astype(np.uint64), ends)
-    return b"".join([*[part.tobytes() for part in head], *stored])
+    keys, codes = keys[order], np.asarray(codes, dtype=np.uint64)[order]
+    lo = 0
+    while lo < len(keys):
+        # entries with one key stay in one file
+        hi = int(np.searchsorted(keys, keys[min(lo + shard, len(keys)) - 1], side="right"))
+        stored = [entries[i].encode() for i in order[lo:hi].tolist()]
+        ends = np.cumsum([len(s) for s in stored], dtype=np.uint64)
+        head = (np.array([hi - lo], np.uint64), keys[lo:hi], codes[lo:hi], ends)
+        yield int(keys[lo]), b"".join([*[part.tobytes() for part in head], *stored])
+        lo = hi
 
 
 def share(spark: SparkSession, data: bytes) -> str:
@@ -75,26 +85,34 @@ def share(spark: SparkSession, data: bytes) -> str:
 
 
 class DigestArray:
-    """The mapped file."""
+    """The mapped files, in the order of their first keys."""
+
+    def __init__(self, paths: Sequence[str], firsts: Sequence[int]):
+        self.firsts = np.array(firsts, dtype=np.uint64)
+        self.shards = [self._mapped(p) for p in paths]
 
-    def __init__(self, path: str):
+    @staticmethod
+    def _mapped(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         data = np.memmap(path, dtype=np.uint8, mode="r")
         count = int(data[:8].view(np.uint64)[0])
-        table = data[8 : 8 + 24 * count].view(np.uint64).reshape(3, count)
-        self.keys, self.place, self.ends = table
-        self.strings = data[8 + 24 * count :]
+        keys, codes, ends = data[8 : 8 + 24 * count].view(np.uint64).reshape(3, count)
+        return keys, codes, ends, data[8 + 24 * count :]
 
     def find(self, probes: Sequence[str]) -> np.ndarray:
-        """Number of the entry that equals each probe, or -1."""
-        wanted = np.array([digest(p) for p in probes], dtype=np.uint64)
-        lo = np.searchsorted(self.keys, wanted, side="left")
-        hi = np.searchsorted(self.keys, wanted, side="right")
-        out = np.full(len(probes), -1, dtype=np.int64)
-        for i in np.flatnonzero(hi > lo).tolist():
-            for k in range(lo[i], hi[i]):  # more than one only where two entries share a key
-                begin = int(self.ends[k - 1]) if k else 0
-                if self.strings[begin : int(self.ends[k])].tobytes() == probes[i].encode():
-                    out[i] = int(self.place[k])
+        """Code of the entry that equals each probe, or 0."""
+        out = np.zeros(len(probes), dtype=np.int64)
+        wanted = np.fromiter(map(digest, probes), dtype=np.uint64, count=len(probes))
+        shard = np.searchsorted(self.firsts, wanted, side="right") - 1
+        for s, (keys, codes, ends, strings) in enumerate(self.shards):
+            here = np.flatnonzero(shard == s)
+            lo = np.searchsorted(keys, wanted[here], side="left")
+            hi = np.searchsorted(keys, wanted[here], side="right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                probe = probes[here[i]].encode()
+                for k in range(lo[i], hi[i]):  # more than one only where two entries share a key
+                    begin = int(ends[k - 1]) if k else 0
+                    if strings[begin : int(ends[k])].tobytes() == probe:
+                        out[here[i]] = int(codes[k])
         return out
 
 
@@ -114,44 +132,46 @@ def filter_urls(
     rules: Sequence[tuple[str, str]] = RULES,
     listed: Sequence[tuple[str, str]] = LISTED,
     default: str = "allow",
+    shard: int = SHARD_ENTRIES,
 ) -> DataFrame:
     """Judge every URL: ``page_id``, ``host``, ``path``, ``rule`` and ``verdict``.
 
     The longest rule that fits gives ``rule`` and ``verdict``. Else ``rule`` is null, and the
     longest entry of ``listed`` that fits gives the verdict, or ``default``. Of two equally
-    long ones the one with the longer host wins. ``rules`` and ``listed`` together may have
-    ``MAX_ENTRIES`` entries, as ``host/path``; more are refused.
+    long ones the one with the longer host wins. Entries are ``host/path``, in any number.
 
-    One row for each row of ``pages``. A null URL, or one without ``://``, has an empty host
-    and path, which no entry fits. Other columns are ignored.
+    One row for each row of ``pages``, repeated ones included. A null URL, or one without
+    ``://``, has an empty host and path, which no entry fits; a very long one is judged whole.
+    Other columns are ignored. An empty table gives no rows.
     """
-    entries = [*rules, *listed]
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} entries")
     if len({e for e, _ in rules}) < len(rules) or len({e for e, _ in listed}) < len(listed):
         raise ValueError("an entry is listed twice")
-    names = sorted({e for e, _ in entries})
-    of_rule, of_list = dict(rules), dict(listed)
-    longest_host = max((len(e.partition("/")[0]) for e in names), default=0)
-    path_lengths = sorted({len(e) - len(e.partition("/")[0]) for e in names})
-    name = share(pages.sparkSession, build(names))
+    # an entry's code tells its verdict as a rule and as a listed entry; 0 is none
+    verdicts = [None, *sorted({v for _, v in (*rules, *listed)})]
+    number = {v: i for i, v in enumerate(verdicts)}
+    code = {e: number[v] for e, v in rules}
+    for e, v in listed:
+        code[e] = code.get(e, 0) + number[v] * len(verdicts)
+    longest_host = max((len(e.partition("/")[0]) for e in code), default=0)
+    path_lengths = sorted({len(e) - len(e.partition("/")[0]) for e in code})
+    files = [(share(pages.sparkSession, data), first) for first, data in build(list(code), list(code.values()), shard)]
 
     def judge(batch):
-        array = DigestArray(SparkFiles.get(name))
+        array = DigestArray([SparkFiles.get(name) for name, _ in files], [first for _, first in files])
         split = [parts(u) for u in batch.column(1).to_pylist()]
         asked = [probes(h, p, longest_host, path_lengths) for h, p in split]
         hits = array.find([x for some in asked for x in some])
-        found, verdicts, at = [], [], 0
+        found, given, at = [], [], 0
         for some in asked:
-            fits = [names[k] for k in hits[at : at + len(some)] if k >= 0]
+            fits = [(e, int(c)) for e, c in zip(some, hits[at : at + len(some)]) if c]
             at += len(some)
-            fits.sort(key=lambda e: (len(e), e.find("/")), reverse=True)
-            rule = next((e for e in fits if e in of_rule), None)
-            entry = next((e for e in fits if e in of_list), None)
-            found.append(rule)
-            verdicts.append(of_rule[rule] if rule else of_list.get(entry, default))
+            fits.sort(key=lambda f: (len(f[0]), f[0].find("/")), reverse=True)
+            rule = next(((e, verdicts[c % len(verdicts)]) for e, c in fits if c % len(verdicts)), (None, None))
+            entry = next((verdicts[c // len(verdicts)] for _, c in fits if c // len(verdicts)), default)
+            found.append(rule[0])
+            given.append(rule[1] or entry)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([h for h, _ in split]), pa.array([p for _, p in split]), pa.array(found, pa.string()), pa.array(verdicts)],
+            [batch.column(0), pa.array([h for h, _ in split]), pa.array([p for _, p in split]), pa.array(found, pa.string()), pa.array(given)],
             ["page_id", "host", "path", "rule", "verdict"],
         )
 
