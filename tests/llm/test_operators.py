@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -155,8 +156,34 @@ def test_url_filter(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
     assert got == {i: cases.get(u, ("", "", None, "allow")) for i, u in enumerate(urls)}
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
-    data = url_filter.build(["b.com/", "a.com/"])
-    assert isinstance(data, bytes)
+    # a list in several files
+    parted = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, shard=2).collect()}
+    assert parted == got
+
+
+def test_digest_array_of_two_million_entries(tmp_path):
+    entries = [f"host{i}.example/p{i % 7}" for i in range(2_000_000)]
+    paths, firsts = [], []
+    for first, data in url_filter.build(entries, [1 + i % 5 for i in range(len(entries))]):
+        paths.append(str(tmp_path / str(len(paths))))
+        firsts.append(first)
+        (tmp_path / paths[-1]).write_bytes(data)
+    assert len(paths) == 2 and firsts == sorted(firsts)
+    array = url_filter.DigestArray(paths, firsts)
+    asked = [*entries[::9973], "host1.example/", "", entries[0] + "x"]
+    want = [1 + i % 5 for i in range(0, len(entries), 9973)] + [0, 0, 0]
+    assert array.find(asked).tolist() == want
+
+
+def test_mail_addresses_equal_the_pattern():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = np.random.default_rng(9)
+    for size in rng.integers(1, 60, 4000):
+        text = "".join(rng.choice(list("ab1.-_@@ é"), size))
+        assert token_counts.mail_spans(text) == [m.span() for m in pattern.finditer(text)], text
+    start = time.perf_counter()
+    assert token_counts.mail_spans("x" * 1_000_000 + " a@b " + "y" * 1_000_000) == []
+    assert time.perf_counter() - start < 1
 
 
 def test_secrets(spark, empty):

@@ -30,7 +30,8 @@ _CUT = re.compile(f"(?<=[^{_SPACES}])(?=[\x20\x09-\x0d])")
 _SPACE = re.compile(f"[{_SPACES}]")
 
 # Personal data that the query masks.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+MAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+MAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+?[0-9][0-9()\x20.-]{7,16}[0-9]")
 
 
@@ -121,9 +122,22 @@ class CountTree:
         return "".join(self.leaves)
 
 
+def mail_spans(text: str) -> list[tuple[int, int]]:
+    """Mail addresses, found from their hosts back, so that a long run of letters takes linear time."""
+    found, last = [], 0
+    for m in MAIL_HOST.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in MAIL_NAME:
+            start -= 1
+        if start < m.start():
+            found.append((start, m.end()))
+            last = m.end()
+    return found
+
+
 def mask_personal_data(text: str) -> list[Edit]:
     """Edits that replace mail addresses and phone numbers, from the last to the first."""
-    found = [(m.start(), m.end(), "<email>") for m in EMAIL.finditer(text)] if "@" in text else []
+    found = [(start, end, "<email>") for start, end in mail_spans(text)] if "@" in text else []
     taken = [(s, e) for s, e, _ in found]
     found += [
         (m.start(), m.end(), "<phone>") for m in PHONE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)
