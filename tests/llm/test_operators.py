@@ -120,6 +120,24 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_rule_order(spark, docs, empty):
+    clean = " ".join(f"word{i}a" for i in range(30))
+    rows = [(i, clean) for i in range(20)]
+    rows += [(i, clean + " # $ % & |") for i in range(20, 50)]
+    rows += [(i, clean + "".join(f"\nline x{k}y" for k in range(400))) for i in range(50, 52)]
+    some = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cheap, dear = "10 * n_symbols > n_words", "10 * regexp_count(text, '[#$%&|]') > n_words"
+    long = "n_lines > 100"
+    rules = {"dear": dear, "long": long, "cheap": cheap}
+    # the same rejections at less cost come first; what is left for the dear rule is nothing
+    assert quality.rule_order(some, rules) == ["cheap", "long", "dear"]
+    assert quality.scans(dear) == 1 and quality.scans(cheap) == 0 and quality.scans("x = 'text'") == 0
+    orders = {tuple(quality.rule_order(d)) for d in (docs, docs.repartition(7), docs.orderBy("text"))}
+    assert len(orders) == 1
+    assert sorted(quality.rule_order(empty)) == sorted(quality.RULES)
+    assert quality._some(docs, 10).count() == 10 and quality._some(docs, 100).count() == docs.count()
+
+
 def test_token_counts(spark, docs, empty):
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
 
