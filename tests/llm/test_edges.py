@@ -77,7 +77,7 @@ def test_secrets(docs):
     # a run of one character costs the same however long, and takes linear time
     assert secrets.guess_cost("é" * 20_000) < secrets.MIN_GUESSES
     text = "pwd = zQ9%mK7&wX2! " * 2000
-    assert len(secrets.guessed_spans(text, secrets.base_spans(text), secrets.MIN_GUESSES)) == 2000
+    assert len(secrets.guessed_spans(secrets.judged_values(text), secrets.MIN_GUESSES)) == 2000
 
 
 def test_packing(docs):

@@ -113,13 +113,15 @@ def test_near_duplicates(staged):
 
 def test_secrets(staged):
     before, after = staged["secrets"]
+    known = secrets.vocabulary(secrets.corpus_words(before))
 
     def plain(text):
         if not text:
             return text
         covered = set()
         base = secrets.base_spans(text)
-        for start, _, end in base + secrets.guessed_spans(text, base, secrets.MIN_GUESSES):
+        judged = secrets.judged_values(text, known)
+        for start, _, end in base + secrets.guessed_spans(judged, secrets.MIN_GUESSES):
             covered.update(range(start, end))
         return "".join(
             (secrets.MASK if k - 1 not in covered else "") if k in covered else c for k, c in enumerate(text)

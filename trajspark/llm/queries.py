@@ -61,6 +61,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in secrets.KINDS[:3]],
         F.sha2(text("base"), 256).alias("base_sha256"),
         text("spans").alias("spans"),
+        F.array_join(
+            F.transform("judged", lambda v: F.concat_ws(":", v["start"], v["end"], F.round(v["cost"], 3))), ","
+        ).alias("guess_costs"),
     )
 
 

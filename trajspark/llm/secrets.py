@@ -4,7 +4,12 @@ Three patterns find assigned secrets, access keys and long hexadecimal runs. Bes
 value that follows a credential word is judged by the number of guesses that it takes: a
 dynamic program splits it into common words, dates, repeats, keyboard walks and brute
 force at least cost. Placeholders and simple phrases are cheap; a value that costs at least
-``10 ** MIN_GUESSES`` guesses is a secret, whatever characters it has.
+``10 ** MIN_GUESSES`` guesses is a secret, whatever characters it has. Every such value is
+judged, also one within a match of a pattern.
+
+Words cost by their rank: a short list of words of passwords comes first, then the most
+frequent words of the documents themselves (at most ``MAX_WORDS``, which are broadcast).
+Words that stand where a value would stand are not counted.
 
 Texts without a credential word, a key prefix or a hexadecimal run are passed over by a
 scan of their bytes.
@@ -14,9 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,10 @@ SEGMENT_COST = 0.3
 #: Of a letter in brute force: two bits, as in running text; other characters are one of ten.
 LETTER_COST = 0.6
 MASK = "[SECRET]"
+#: Words of the documents that are known to the guesser: how many, how often seen, their bytes.
+MAX_WORDS = 20_000
+MIN_SEEN = 20
+MIN_WORD, LONGEST_WORD = 3, 24
 
 # The three patterns, the shortest match of each, and their order.
 KINDS = ("assign", "access", "hex", "guess")
@@ -65,15 +73,36 @@ COMMON_WORDS = (
 # Rows along which keys follow each other, and letters that stand for others.
 WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?")
-DAY_FIRST = re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
+# Years, months and days as they are written, and how many of each there are.
+YEAR, MONTH, DAY, BETWEEN = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", r"[-/._]?"
+DATES = (
+    (re.compile(YEAR, re.ASCII), 140),
+    (re.compile(YEAR + BETWEEN + MONTH, re.ASCII), 140 * 12),
+    (re.compile(YEAR + BETWEEN + MONTH + BETWEEN + DAY, re.ASCII), 140 * 366),
+    (re.compile(DAY + BETWEEN + MONTH + BETWEEN + YEAR, re.ASCII), 140 * 366),
+)
 
-_RANKS = {word: rank for rank, word in enumerate(COMMON_WORDS, start=1)}
 _NEXT = {pair for row in WALKS for way in (row, row[::-1]) for pair in zip(way, way[1:])}
-_WORD_LENGTHS = sorted({len(w) for w in COMMON_WORDS})
 
 
-def guess_cost(value: str) -> float:
+@dataclass(frozen=True)
+class Vocabulary:
+    """Ranks of the words that a guesser tries, and their lengths."""
+
+    ranks: dict[str, int]
+    lengths: tuple[int, ...]
+
+
+def vocabulary(words: Iterable[str] = ()) -> Vocabulary:
+    """The common words, then ``words``, the most frequent first."""
+    ranks = {word: rank for rank, word in enumerate(dict.fromkeys([*COMMON_WORDS, *words]), start=1)}
+    return Vocabulary(ranks, tuple(sorted({len(w) for w in ranks})))
+
+
+COMMON = vocabulary()
+
+
+def guess_cost(value: str, known: Vocabulary = COMMON) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
     low = value.lower() if len(value.lower()) == len(value) else value
     plain = low.translate(LEET)
@@ -96,15 +125,15 @@ def guess_cost(value: str) -> float:
         for j in range(i, min(n, i + LONGEST_MATCH)):
             spent += LETTER_COST if low[j].isalpha() else 1.0
             reach(j + 1, spent)
-        for size in _WORD_LENGTHS:
+        for size in known.lengths:
             word = plain[i : i + size]
-            if len(word) == size and word in _RANKS:
-                cost = math.log10(_RANKS[word] + 1)
+            if len(word) == size and word in known.ranks:
+                cost = math.log10(known.ranks[word] + 1)
                 cost += 0.3 * (value[i : i + size] != low[i : i + size]) + 0.3 * (word != low[i : i + size])
                 reach(i + size, base + cost)
-        for pattern, ways in ((DATE, 140 * 366), (DAY_FIRST, 140 * 366)):
+        for pattern, ways in DATES:
             if found := pattern.match(value, i):
-                reach(found.end(), base + math.log10(140 if found.end() - i == 4 else ways))
+                reach(found.end(), base + math.log10(ways))
         walk = i + 1
         while walk < min(n, i + LONGEST_MATCH) and (low[walk - 1], low[walk]) in _NEXT:
             walk += 1
@@ -126,18 +155,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
-    """Values after credential words that no base span touches and that cost at least ``least``."""
-    out = []
-    starts = [s for s, _, _ in base]
-    reached = list(accumulate((e for _, _, e in base), max, initial=0))
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(m.lastindex)
-        # the base spans that start before the value's end must all end before it starts
-        if end - start >= MIN_VALUE and reached[bisect_left(starts, end)] <= start:
-            if guess_cost(text[start:end]) >= least:
-                out.append((start, 3, end))
-    return out
+def judged_values(text: str, known: Vocabulary = COMMON) -> list[tuple[int, int, float]]:
+    """Start, end and guess cost of every value of ``MIN_VALUE`` characters after a credential word."""
+    found = (m.span(m.lastindex) for m in CONTEXT.finditer(text))
+    return [(start, end, guess_cost(text[start:end], known)) for start, end in found if end - start >= MIN_VALUE]
+
+
+def guessed_spans(judged: list[tuple[int, int, float]], least: float) -> list[tuple[int, int, int]]:
+    """The values that cost at least ``least``, as spans."""
+    return [(start, 3, end) for start, end, cost in judged if cost >= least]
+
+
+_LETTERS = np.zeros(256, dtype=bool)
+for _lo, _hi in ((0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+    _LETTERS[_lo:_hi] = True
+_STOPS, _ASSIGNS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_STOPS[list(b".,;:!?")] = True
+_ASSIGNS[list(b":=>")] = True
+
+
+def _word_counts(block: W.Block) -> tuple[pa.Array, np.ndarray]:
+    """The words of letters alone in a block, A to Z in lower case, and how often each occurs.
+
+    One mark may follow a word. A word after ``:``, ``=`` or ``>`` may be a value and is left out.
+    """
+    found = W.find_words(block)
+    start, end = found.start, found.end
+    value = np.zeros(len(start), dtype=bool)
+    value[1:] = _ASSIGNS[block.data[end[:-1] - 1]]
+    value[found.bounds[:-1][found.counts > 0]] = False
+    if len(end):
+        end = end - _STOPS[block.data[end - 1]]
+    letters = np.concatenate([[0], np.cumsum(_LETTERS[block.data])])
+    size = end - start
+    good = ~value & (letters[end] - letters[start] == size) & (size >= MIN_WORD) & (size <= LONGEST_WORD)
+    start, end = start[good], end[good]
+    _, one, counts = np.unique(W.stretch_hashes(block.data, start, end, lower=True), return_index=True, return_counts=True)
+    start, end = start[one], end[one]
+    data = W.LOWER[block.data[W.rows_between(start, end)]]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(one), pa.py_buffer(offsets), pa.py_buffer(data)), counts
+
+
+def corpus_words(docs: DataFrame, most: int = MAX_WORDS, seen: int = MIN_SEEN) -> list[str]:
+    """The ``most`` frequent words of all texts, the most frequent first, ties in byte order."""
+
+    def count(batch):
+        for block in W.blocks(batch.column(0)):
+            words, counts = _word_counts(block)
+            yield pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64())], ["word", "n"])
+
+    counted = map_arrow(docs.select(F.col("text").cast("string").alias("text")), count, "word string, n bigint")
+    total = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= seen)
+    return [r.word for r in total.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def _suspects(block: W.Block) -> np.ndarray:
@@ -160,16 +230,28 @@ def _suspects(block: W.Block) -> np.ndarray:
     return np.unique(np.concatenate([hinted, W.rows_between(first, last + 1)])).astype(np.int64)
 
 
-def _found(texts: pa.Array, least: float) -> Iterator[tuple[int, str, list, list]]:
-    """Row, text, base spans and all spans of every text with a span."""
+def _found(texts: pa.Array, known: Vocabulary) -> Iterator[tuple[int, str, list, list]]:
+    """Row, text, base spans and judged values of every text that has any."""
     texts = texts.cast(pa.large_string()).fill_null("")
     for block in W.blocks(texts):
         for d in _suspects(block).tolist():
             text = texts[block.first + d].as_py()
             base = base_spans(text)
-            spans = sorted(base + guessed_spans(text, base, least))
-            if spans:
-                yield block.first + d, text, base, spans
+            judged = judged_values(text, known)
+            if base or judged:
+                yield block.first + d, text, base, judged
+
+
+def _per_row(fields: pa.Array, per_row: list[list]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(row) for row in per_row])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), fields)
+
+
+def _judged_lists(per_row: list[list]) -> pa.Array:
+    flat = [v for row in per_row for v in row]
+    columns = zip(("start", "end", "cost"), (pa.int64(), pa.int64(), pa.float64()))
+    arrays = {name: pa.array([v[k] for v in flat], kind) for k, (name, kind) in enumerate(columns)}
+    return _per_row(pa.StructArray.from_arrays(list(arrays.values()), list(arrays)), per_row)
 
 
 def _span_lists(per_row: list[list]) -> pa.Array:
@@ -182,47 +264,60 @@ def _span_lists(per_row: list[list]) -> pa.Array:
         ],
         ["kind", "start", "end"],
     )
-    offsets = np.concatenate([[0], np.cumsum([len(row) for row in per_row])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+    return _per_row(values, per_row)
+
+
+def _shared(docs: DataFrame, known: Vocabulary | None):
+    """The vocabulary, from the documents themselves if none is given, at most ``MAX_WORDS`` of them, broadcast."""
+    return docs.sparkSession.sparkContext.broadcast(known or vocabulary(corpus_words(docs)))
 
 
-def scan(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
-    """Secrets of every document: ``doc_id``, ``base`` (spans of the patterns) and ``spans`` (all).
+def scan(docs: DataFrame, min_guesses: float = MIN_GUESSES, known: Vocabulary | None = None) -> DataFrame:
+    """Secrets of every document: ``doc_id``, ``base`` (spans of the patterns), ``spans`` (all), ``judged``.
 
     A span has ``kind``, ``start`` and ``end`` (code points, end exclusive); spans are in
-    the order of their start, then of their kind. One row for each row of ``docs``. A null or
-    empty text has none. Repeated rows and null ids are scanned like others. Other columns
-    are ignored.
+    the order of their start, then of their kind. ``judged`` has ``start``, ``end`` and ``cost``
+    of every value after a credential word. One row for each row of ``docs``. A null or
+    empty text has none; an empty table gives none. A very long text is scanned as a whole, in
+    one row and in linear time. Repeated rows and null ids are scanned like others (each counts
+    for the words). Other columns are ignored. Without ``known``, words are counted first.
     """
+    words = _shared(docs, known)
 
     def find(batch):
         base: list[list] = [[] for _ in range(batch.num_rows)]
         spans: list[list] = [[] for _ in range(batch.num_rows)]
-        for row, _, first, every in _found(batch.column(1), min_guesses):
-            base[row], spans[row] = first, every
+        values: list[list] = [[] for _ in range(batch.num_rows)]
+        for row, _, first, judged in _found(batch.column(1), words.value):
+            base[row], values[row] = first, judged
+            spans[row] = sorted(first + guessed_spans(judged, min_guesses))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), _span_lists(base), _span_lists(spans)], ["doc_id", "base", "spans"]
+            [batch.column(0), _span_lists(base), _span_lists(spans), _judged_lists(values)],
+            ["doc_id", "base", "spans", "judged"],
         )
 
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, find, f"doc_id bigint, base {span}, spans {span}")
+    values = "array<struct<start:bigint,end:bigint,cost:double>>"
+    return map_arrow(rows, find, f"doc_id bigint, base {span}, spans {span}, judged {values}")
 
 
-def redact(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame:
+def redact(docs: DataFrame, min_guesses: float = MIN_GUESSES, known: Vocabulary | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` (spans that overlap: their union) replaced by ``[SECRET]``.
 
-    All rows and columns stay, whatever their names; a null text stays null.
+    All rows and columns stay, whatever their names; a null text stays null, an empty table
+    empty; repeated rows are masked alike, very long texts as a whole.
     """
+    words = _shared(docs, known)
     docs, back = set_aside(docs, "text")
     at = docs.columns.index("text")
 
     def mask(batch):
         texts = batch.column(at)
         changed: dict[int, str] = {}
-        for row, text, _, spans in _found(texts, min_guesses):
+        for row, text, base, judged in _found(texts, words.value):
             out, end = [], 0
-            for start, _, stop in spans:
+            for start, _, stop in sorted(base + guessed_spans(judged, min_guesses)):
                 if start >= end:
                     out += [text[end:start], MASK]
                 end = max(end, stop)
