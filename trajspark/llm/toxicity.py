@@ -2,11 +2,14 @@
 
 Terms are words (letters, digits and what is outside ASCII; A to Z in lower case) and
 their first ``PREFIX`` bytes, hashed to ``2 ** HASH_BITS`` cells. The model is fitted on a
-bounded sample of labelled documents, in one task: cells that at least ``MIN_DOCUMENTS``
-of them hold and whose share differs between the classes by more than ``MIN_Z`` standard
-errors are kept, at most ``MAX_TERMS``. On them a factorization machine is trained: a
-weight for each term and, through its factors, a weight for each pair of terms. Every
-document is then scored where it lies, with the model of fixed size broadcast.
+bounded sample of labelled documents, in one task. A cell takes part in two ways. Alone: at
+least ``MIN_DOCUMENTS`` of them hold it and its share differs between the classes by more than
+``MIN_Z`` standard errors (at most ``MAX_TERMS``). In company: of the ``PAIR_TERMS`` most frequent
+cells, both of a pair whose share of toxic documents is more than ``MIN_PAIR_Z`` standard
+errors from the sum of what each of the two adds (at most ``MAX_PAIRS``), although neither may
+tell anything alone. On them a factorization machine is trained: a weight for each term and,
+through its factors, a weight for each pair of terms. Every document is then scored where it
+lies, with the model of fixed size broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +31,12 @@ SAMPLE = 20_000
 MIN_DOCUMENTS = 5
 MIN_Z = 4.0
 MAX_TERMS = 4096
+PAIR_TERMS = 4096
+MIN_PAIR_Z = 8.0
+MAX_PAIRS = 256
+#: Different documents that hold both of a pair, at least; width of the blocks that are compared.
+MIN_TOGETHER = 20
+PAIR_BLOCK = 512
 FACTORS = 8
 PASSES = 150
 RATE = 0.05
@@ -87,7 +96,7 @@ def _outputs(bias, weight, factor, row, term, rows) -> tuple[np.ndarray, np.ndar
 
 
 def chosen_cells(row: np.ndarray, cell: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The cells that tell the classes apart, the clearest first."""
+    """The cells that tell the classes apart by themselves."""
     ones, zeros = max(1, int(label.sum())), max(1, int((1 - label).sum()))
     size = 1 << HASH_BITS
     in_ones = np.bincount(cell, weights=label[row], minlength=size)
@@ -100,9 +109,66 @@ def chosen_cells(row: np.ndarray, cell: np.ndarray, label: np.ndarray) -> np.nda
     return np.sort(best[z[best] > MIN_Z])
 
 
+def paired_cells(row: np.ndarray, cell: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Cells of the pairs that tell more together than the two add alone; equal documents count once."""
+    mixed = W.mix(cell.astype(np.uint64) + np.uint64(1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+    edges = np.searchsorted(row, np.arange(len(label) + 1))
+    _, first = np.unique(np.stack([sums[edges[1:]] - sums[edges[:-1]], label.astype(np.uint64)], 1), axis=0, return_index=True)
+    number = np.full(len(label), -1)
+    number[first] = np.arange(len(first))
+    row, cell, label = number[row], cell[number[row] >= 0], label[first]
+    row = row[row >= 0]
+    held = np.bincount(cell, minlength=1 << HASH_BITS)
+    cells = np.argsort(-held, kind="stable")[:PAIR_TERMS]
+    cells = np.sort(cells[held[cells] >= MIN_TOGETHER])
+    if not len(cells) or not 0 < label.sum() < len(label):
+        return np.zeros(0, dtype=np.int64)
+    held, toxic = held[cells], np.bincount(cell, weights=label[row], minlength=1 << HASH_BITS)[cells]
+    place = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    place[cells] = np.arange(len(cells))
+    at = place[cell]
+    row, at = row[at >= 0], at[at >= 0]
+    prior, is_toxic = label.mean(), label == 1
+    # a share of few documents is never taken as surer than the share of all would be
+    spread = prior * (1 - prior)
+
+    def block(lo: int) -> np.ndarray:
+        x = np.zeros((len(label), min(PAIR_BLOCK, len(cells) - lo)), dtype=np.float32)
+        inside = (at >= lo) & (at < lo + PAIR_BLOCK)
+        x[row[inside], at[inside] - lo] = 1
+        return x
+
+    def share(part, whole):
+        p = (part + prior) / (whole + 1)
+        return p, np.maximum(p * (1 - p), spread) / (whole + 1)
+
+    found: list[tuple[float, int, int]] = []
+    for lo in range(0, len(cells), PAIR_BLOCK):
+        left = block(lo)
+        left_toxic = left[is_toxic]
+        for other in range(lo, len(cells), PAIR_BLOCK):
+            right = left if other == lo else block(other)
+            both, both_toxic = left.T @ right, left_toxic.T @ right[is_toxic]
+            a, b = slice(lo, lo + left.shape[1]), slice(other, other + right.shape[1])
+            n_a, n_b, t_a, t_b = held[a, None], held[None, b], toxic[a, None], toxic[None, b]
+            p_a, v_a = share(t_a - both_toxic, n_a - both)
+            p_b, v_b = share(t_b - both_toxic, n_b - both)
+            p_0, v_0 = share(label.sum() - t_a - t_b + both_toxic, len(label) - n_a - n_b + both)
+            added = np.clip(p_a + p_b - p_0, 0, 1)
+            error = np.sqrt(v_a + v_b + v_0 + np.maximum(added * (1 - added), spread) / np.maximum(both, 1))
+            z = np.abs(both_toxic / np.maximum(both, 1) - added) / error
+            i, j = np.nonzero((z > MIN_PAIR_Z) & (both >= MIN_TOGETHER))
+            ahead = i + lo < j + other
+            i, j = i[ahead], j[ahead]
+            found += zip((-z[i, j]).tolist(), (i + lo).tolist(), (j + other).tolist())
+            found = sorted(found)[:MAX_PAIRS]
+    return cells[np.unique([k for _, i, j in found for k in (i, j)]).astype(np.int64)]
+
+
 def fit(row: np.ndarray, cell: np.ndarray, label: np.ndarray) -> Model:
     """Train on distinct (``row``, ``cell``) of labelled documents by Adam on the log loss."""
-    cells = chosen_cells(row, cell, label)
+    cells = np.union1d(chosen_cells(row, cell, label), paired_cells(row, cell, label))
     at = np.searchsorted(cells, cell)
     hit = at < len(cells)
     hit[hit] = cells[at[hit]] == cell[hit]
@@ -214,7 +280,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     One row for each row of ``docs``. A null or empty text scores what a document without
     any term scores. A null ``doc_id`` is scored and not held out. Labels that repeat count
     once, as toxic if any is; null labels are left out. Without labels every score is the
-    same and below 0.5. Other columns are ignored.
+    same and below 0.5. An empty table gives none. A very long text is scored as a whole, in one
+    row. Other columns are ignored.
     """
     found = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, sample)
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "held_out", "score", "predicted")
