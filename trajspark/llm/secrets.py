@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajspark.llm import words as W
-from trajspark.llm.tables import map_arrow, set_aside
+from trajspark.llm.tables import map_arrow, set_aside, written
 
 MIN_GUESSES = 8.0
 MIN_VALUE = 6
@@ -206,8 +206,15 @@ def corpus_words(docs: DataFrame, most: int = MAX_WORDS, seen: int = MIN_SEEN) -
             yield pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64())], ["word", "n"])
 
     counted = map_arrow(docs.select(F.col("text").cast("string").alias("text")), count, "word string, n bigint")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= seen)
-    return [r.word for r in total.orderBy(F.desc("n"), "word").limit(most).collect()]
+    total = written(counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= seen), "words")
+    # eight steps for each doubling of a count: the driver gets the steps that ``most`` words fill, not more
+    step = F.floor(8 * F.log2("n")).cast("int")
+    room, least = most, 0
+    for r in total.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        room, least = room - r.words, r.step
+        if room <= 0:
+            break
+    return [r.word for r in total.filter(step >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def _suspects(block: W.Block) -> np.ndarray:
