@@ -11,20 +11,29 @@ last pair only with m - 1 of them. The number of classes follows the size of the
 that pairs stay in proportion to it; a set uses the classes of its own size step and of
 the next, and thereby shares one of them with every set it can link to.
 
-Which shingles are frequent is read from a table of counters of fixed size over all
-documents: a shingle is frequent if its counter exceeds twice the mean by ``frequent``. Shared counters cost time, never a link.
+Which shingles are frequent is read from two tables of counters of fixed size over all
+documents. A counter holds what its many rare shingles add up to, which grows with the
+corpus but varies little (by the root of the sum), and what a frequent one adds. So a
+shingle is frequent if both its counters exceed the median by six times the spread below
+the median and by ``frequent``: the limit follows the noise, not the sum. Shared counters
+cost time, never a link.
 
 Sets that are equal are merged first. Index entries with one set are dropped. Of the rest
 every set is compared with the heaviest set of each entry, and linked sets are joined to
 components. Only sets of different components in one entry remain. These are compared in
 square blocks of bounded size by parity bitmaps, whose distance never exceeds that of the
 sets, and the few pairs that may link are verified. So no link is lost, and a group of
-copies is never expanded into its pairs.
+copies is never expanded into its pairs. A set that many others are compared with travels
+once for each block of its pairs, not once for each pair.
+
+A group (copies of one text, pairs of one set) with more than one in ``SHARE`` of all rows
+is split; there are fewer than ``SHARE`` of those, so their table may be broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +43,22 @@ from pyspark.sql.window import Window
 
 from trajspark.llm import words as W
 from trajspark.llm.components import components
-from trajspark.llm.tables import IdFilter, lists, map_arrow, set_aside, sorted_groups, split, written
+from trajspark.llm.tables import IdFilter, give_back, lists, map_arrow, set_aside, sorted_groups, split, written
 
 SHINGLE = 5
 PERCENT = 80
-COUNTERS = 1 << 20
+COUNTERS = 1 << 19
+COUNTER_ROWS = 2
 COUNTER_CHUNK = 1 << 12
 FREQUENT = 64
 BLOCK_ROWS = 512
+SHARE = 2000
+PAIR_BLOCK = 512
 CLASS_SIZE = 8
 SIZE_STEP = 1.25
 
 U64 = np.uint64
-_CELL_SHIFT = U64(64 - 20)
+_CELLS = COUNTER_ROWS * COUNTERS
 
 
 def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -80,14 +92,39 @@ def shingle_sets(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray
         yield block.first, values[fresh], distinct
 
 
+def _cells(values: np.ndarray) -> Iterator[np.ndarray]:
+    """The cell of every shingle in each table of counters; the tables lie one after the other."""
+    for row in range(COUNTER_ROWS):
+        yield ((values >> U64(64 - 19 * (row + 1))) & U64(COUNTERS - 1)).astype(np.int64) + row * COUNTERS
+
+
+def is_frequent(values: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which shingles are frequent in every table of counters."""
+    found = np.ones(len(values), dtype=bool)
+    for at in _cells(values):
+        found &= cells[at].astype(bool)
+    return found
+
+
+def above_noise(counters: np.ndarray, frequent: int) -> np.ndarray:
+    """Which counters of one table hold more than rare shingles add up to, by over ``frequent``.
+
+    The spread is taken below the median, where no frequent shingle reaches.
+    """
+    low, middle = np.quantile(counters, [0.16, 0.5])
+    return counters > middle + 6 * (middle - low) + frequent
+
+
 def frequent_cells(docs: DataFrame, length: int, frequent: int) -> np.ndarray:
     """Which of the counters are frequent: one bit for each, whatever the number of documents."""
 
     def count(batches):
-        cells = np.zeros(COUNTERS, dtype=np.int64)
+        cells = np.zeros(_CELLS, dtype=np.int64)
         for batch in batches:
             for _, values, _ in shingle_sets(batch.column(0), length):
-                cells += np.bincount((values >> _CELL_SHIFT).astype(np.int64), minlength=COUNTERS)
+                for row, at in enumerate(_cells(values)):
+                    table = cells[row * COUNTERS : (row + 1) * COUNTERS]
+                    table += np.bincount(at - row * COUNTERS, minlength=COUNTERS)
         chunks = np.flatnonzero(cells.reshape(-1, COUNTER_CHUNK).any(axis=1))
         for chunk in chunks:
             part = cells[chunk * COUNTER_CHUNK : (chunk + 1) * COUNTER_CHUNK]
@@ -101,10 +138,10 @@ def frequent_cells(docs: DataFrame, length: int, frequent: int) -> np.ndarray:
     schema = "chunk int, counts array<bigint>"
     parts = docs.select("text").mapInArrow(count, schema)
     totals = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(total, schema)
-    cells = np.zeros(COUNTERS, dtype=np.int64)
+    cells = np.zeros(_CELLS, dtype=np.int64)
     for row in totals.toLocalIterator():
         cells[row.chunk * COUNTER_CHUNK : (row.chunk + 1) * COUNTER_CHUNK] = row.counts
-    return np.packbits(cells > frequent + 2 * cells.mean())
+    return np.packbits(np.concatenate([above_noise(table, frequent) for table in cells.reshape(COUNTER_ROWS, -1)]))
 
 
 def _size_class(n: int) -> int:
@@ -153,7 +190,7 @@ def _index(docs: DataFrame, length: int, percent: int, bits) -> DataFrame:
         ids = batch.column(0)
         cells = np.unpackbits(bits.value)
         for first, values, counts in shingle_sets(batch.column(1), length):
-            common = cells[(values >> _CELL_SHIFT).astype(np.int64)].astype(bool)
+            common = is_frequent(values, cells)
             bounds = np.concatenate([[0], np.cumsum(counts)])
             sums = np.zeros((2, len(values) + 1), dtype=U64)
             np.cumsum(W.mix(values), out=sums[0, 1:])
@@ -231,38 +268,73 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
-def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("set").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b")
+def _large(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys of more than one in ``SHARE`` of ``rows`` (a written table), with their number ``m``: fewer than ``SHARE``."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+    return counted.filter(F.col("m") > max(PAIR_BLOCK, rows.count() // SHARE))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, passes: Callable[[int, np.ndarray, int, np.ndarray], bool]) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``; a written table) for which ``passes(n of a, set of a, n of b, set of b)`` holds.
+
+    The set of ``a`` comes once for a block of its pairs, ahead of the sets of ``b`` in a sorted partition.
+    """
+    large = _large(pairs, "a").select("a", F.ceil(F.col("m") / PAIR_BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("block")
+    dealt = pairs.join(F.broadcast(large), "a", "left").select("a", "b", block)
+    members = dealt.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "block", F.lit(1).alias("turn"), "b", "n", "set")
+    heads = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("rep", "a"), "a")
+    heads = heads.select("a", "block", F.lit(0).alias("turn"), F.col("a").alias("b"), "n", "set")
+
+    def compare(batches):
+        group, heads = None, {}
+        for batch in batches:
+            first, block, turn, second, n = (batch.column(c).to_numpy() for c in range(5))
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, found in enumerate(batch.column(5)):
+                if isinstance(found, pa.ListScalar):
+                    found = found.values.to_numpy()
+                else:
+                    found = np.frombuffer(found.as_buffer(), dtype=np.uint8)
+                if turn[i] == 0:
+                    if group != (first[i], block[i]):
+                        group, heads = (first[i], block[i]), {}
+                    # one head, or one for each different text of a doc_id; copied, as it outlives the batch
+                    heads[found.tobytes()] = (int(n[i]), found.copy())
+                else:
+                    kept[i] = any(passes(*head, int(n[i]), found) for head in heads.values())
+            yield pa.RecordBatch.from_arrays([pa.array(first[kept]), pa.array(second[kept])], ["a", "b"])
+        give_back()
+
+    rows = heads.union(members).repartition("a", "block").sortWithinPartitions("a", "block", "turn")
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose bitmaps allow a link."""
 
-    def compare(batch):
-        na, nb = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-        kept = np.zeros(len(na), dtype=bool)
-        for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-            x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-            while len(x) > len(y):
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            while len(y) > len(x):
-                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-            gap = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
-            kept[i] = gap * (100 + percent) <= (100 - percent) * (na[i] + nb[i])
-        yield batch.select([0, 2]).filter(pa.array(kept))
+    def near(na, x, nb, y):
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        gap = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+        return gap * (100 + percent) <= (100 - percent) * (na + nb)
 
-    rows = _joined(pairs, bits).select("a", "na", "b", "nb", "x", "y")
-    return map_arrow(rows, compare, "a bigint, b bigint").distinct()
+    return _compared(pairs, bits, near)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets reach the threshold."""
-    sets = written(_of_sets(docs, _ends(pairs), length, bitmaps=False), "sets")
-    both = F.size(F.array_intersect("x", "y")).cast("bigint")
-    union = F.col("na") + F.col("nb") - both
-    return _joined(pairs, sets).filter(100 * both >= percent * union).select("a", "b").distinct()
+
+    def link(na, x, nb, y):
+        x, y = x.view(U64), y.view(U64)
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+        both = int(np.count_nonzero(large[at] == small))
+        return 100 * both >= percent * (na + nb - both)
+
+    return _compared(pairs, written(_of_sets(docs, _ends(pairs), length, bitmaps=False), "sets"), link)
 
 
 def _pair(x, y) -> list:
@@ -281,7 +353,9 @@ def _stars(postings: DataFrame, percent: int) -> DataFrame:
     )
     small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
     met = postings.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & (100 * small >= percent * large))
-    return met.select(*_pair(F.col("rep"), F.col("hub"))).distinct()
+    # two sets may be each other's hub: the pair is compared once
+    once = met.groupBy(*_pair(F.col("rep"), F.col("hub"))).agg(F.min("hub").alias("hub"))
+    return once.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
 def _hamming_pairs(group: list[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -373,7 +447,7 @@ def ngram_jaccard_join(
 
     known = postings.select("rep").distinct()
     parity = written(_of_sets(docs, known, length, bitmaps=True), "bits")
-    near = written(possible(_stars(postings, percent), parity, percent), "near")
+    near = written(possible(written(_stars(postings, percent), "hubs"), parity, percent), "near")
     stars = written(verified(docs, near, length, percent), "stars")
     groups = components(stars)
     near = written(_rest(postings, groups, parity, percent), "near")
@@ -382,16 +456,19 @@ def ngram_jaccard_join(
     if not rest.isEmpty():
         groups = components(links)
 
-    members = linked.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    text = ["d1", "d2", "n"]
+    members = linked.groupBy(*text).agg(F.min("doc_id").alias("rep"))
     named = members.join(groups, members["rep"] == groups["node"], "left").select(
-        "d1", "d2", "n", F.coalesce("component", "rep").alias("component")
-    )
-    # a document with several texts is one node: all its rows take the smallest component
-    found = index.join(named, ["d1", "d2", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        *text, F.coalesce("component", "rep").alias("component")
     )
+    large = written(named.join(F.broadcast(_large(index, *text).select(*text)), text), "large")
+    some, whole = index.filter("doc_id is not null and n > 0"), index.filter("doc_id is null or n = 0")
+    parts = [
+        some.join(F.broadcast(large), text),
+        some.join(F.broadcast(large), text, "left_anti").join(named, text),
+        whole.withColumn("component", F.col("doc_id")),
+    ]
+    found = reduce(DataFrame.union, [p.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")) for p in parts])
     return found, links
 
 
