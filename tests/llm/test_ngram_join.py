@@ -103,3 +103,13 @@ def test_hot_groups_are_split(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(7)
     found, _ = ngram_join.ngram_jaccard_join(docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == linked(texts)
+
+
+def test_one_document_with_several_texts(spark):
+    """Its texts are one node: what links to any of them is one component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, ""), (9, c), (11, c), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found, _ = ngram_join.ngram_jaccard_join(docs)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in found.collect())
+    assert got == [(0, 26, 0), (3, 26, 3), (5, 26, 3), (5, 26, 3), (7, 26, 3), (9, 0, 9), (9, 26, 9), (9, 26, 9), (11, 26, 9)]

@@ -422,6 +422,16 @@ def _rest(postings: DataFrame, labels: DataFrame, bits: DataFrame, percent: int)
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _same_document(linked: DataFrame, members: DataFrame) -> DataFrame:
+    """Links that keep together the texts of a ``doc_id`` that has several."""
+    text = ["d1", "d2", "n"]
+    seen = F.struct(*text)
+    several = linked.groupBy("doc_id").agg(F.min(seen).alias("low"), F.max(seen).alias("high")).filter("low <> high")
+    rows = linked.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", *text).distinct()
+    found = rows.join(members, text).filter("doc_id <> rep")
+    return found.select(*_pair(F.col("doc_id"), F.col("rep"))).distinct()
+
+
 def ngram_jaccard_join(
     docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT
 ) -> tuple[DataFrame, DataFrame]:
@@ -445,10 +455,12 @@ def ngram_jaccard_join(
     entries = reps.select(F.explode("first.keys").alias("key"), "n", F.col("first.doc_id").alias("rep"))
     postings = written(_shared(entries, percent), "postings")
 
+    text = ["d1", "d2", "n"]
+    members = linked.groupBy(*text).agg(F.min("doc_id").alias("rep"))
     known = postings.select("rep").distinct()
     parity = written(_of_sets(docs, known, length, bitmaps=True), "bits")
     near = written(possible(written(_stars(postings, percent), "hubs"), parity, percent), "near")
-    stars = written(verified(docs, near, length, percent), "stars")
+    stars = written(verified(docs, near, length, percent).union(_same_document(linked, members)), "stars")
     groups = components(stars)
     near = written(_rest(postings, groups, parity, percent), "near")
     rest = written(verified(docs, near, length, percent), "rest")
@@ -456,8 +468,6 @@ def ngram_jaccard_join(
     if not rest.isEmpty():
         groups = components(links)
 
-    text = ["d1", "d2", "n"]
-    members = linked.groupBy(*text).agg(F.min("doc_id").alias("rep"))
     named = members.join(groups, members["rep"] == groups["node"], "left").select(
         *text, F.coalesce("component", "rep").alias("component")
     )
