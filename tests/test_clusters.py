@@ -361,3 +361,10 @@ def test_heat_map_rows(spark):
     labels = spark.createDataFrame([("b", "Traj 2"), ("a", "Traj 2"), ("c", "Traj 1"), ("d", "Other")], "clone_id string, k string")
     rows = cluster.ordered_labels(labels).collect()
     assert [(r.row, r.clone_id, r.k) for r in rows] == [(1, "c", "Traj 1"), (2, "a", "Traj 2"), (3, "b", "Traj 2")]
+
+
+def test_row_distances_without_defined_clones(spark):
+    for x in (np.zeros((0, 4)), np.ones((3, 4))):
+        units = vectors.unit_vectors(as_matrix(spark, x), 4)
+        found = vectors.row_distances(units, vectors.row_projection(units, 4))
+        assert found.dtypes == [("clone_id", "string"), ("mean_sq_dist", "double")] and found.collect() == []

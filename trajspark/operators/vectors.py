@@ -280,7 +280,8 @@ def correlated_profiles(units: DataFrame, width: int, min_abs_cor: float) -> Dat
 def row_distances(units: DataFrame, projection: Projection) -> DataFrame:
     """Per clone, the mean squared distance of its correlation row to all other rows.
 
-    Uses ``mean |v - w|^2 = |v|^2 - 2 v . mean(w) + mean |w|^2``.
+    Uses ``mean |v - w|^2 = |v|^2 - 2 v . mean(w) + mean |w|^2``. No rows if no clone has a
+    defined correlation.
     """
     width = projection.width
     placed = defined(units).select(CLONE, F.array(*projection.columns()).alias("v"))
@@ -288,8 +289,9 @@ def row_distances(units: DataFrame, projection: Projection) -> DataFrame:
     sums = placed.agg(
         *[F.avg(c).alias(f"m{d}") for d, c in enumerate(v)], F.avg(total([c * c for c in v])).alias("q")
     ).first()
-    centre = [sums[f"m{d}"] for d in range(width)]
+    # without clones the means are null
+    centre = [sums[f"m{d}"] or 0.0 for d in range(width)]
     return placed.select(
         CLONE,
-        (total([c * c for c in v]) - F.lit(2.0) * dot(v, centre) + F.lit(sums["q"])).alias("mean_sq_dist"),
+        (total([c * c for c in v]) - F.lit(2.0) * dot(v, centre) + F.lit(sums["q"] or 0.0)).alias("mean_sq_dist"),
     )
