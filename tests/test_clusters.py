@@ -368,3 +368,10 @@ def test_row_distances_without_defined_clones(spark):
         units = vectors.unit_vectors(as_matrix(spark, x), 4)
         found = vectors.row_distances(units, vectors.row_projection(units, 4))
         assert found.dtypes == [("clone_id", "string"), ("mean_sq_dist", "double")] and found.collect() == []
+
+
+def test_ward_loss_without_defined_clones(spark):
+    types = cluster.ward_loss(vectors.unit_vectors(as_matrix(spark, random_profiles(9)), 4), 4).dtypes
+    for x in (np.zeros((0, 4)), np.ones((3, 4))):
+        found = cluster.ward_loss(vectors.unit_vectors(as_matrix(spark, x), 4), 4)
+        assert found.dtypes == types and [tuple(r) for r in found.collect()] == [(None, 0.0, None)]

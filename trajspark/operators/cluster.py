@@ -97,6 +97,12 @@ def no_labels(placed: DataFrame) -> DataFrame:
     return placed.select(CLONE, F.lit(None).cast("string").alias(K))
 
 
+def no_loss(units: DataFrame) -> DataFrame:
+    """The row of ``ward_loss`` if no clone has a defined correlation."""
+    nothing = [F.lit(None).cast("bigint").alias("clones"), F.lit(0.0).alias("lost"), F.lit(None).cast("double").alias("within")]
+    return units.sparkSession.range(1).select(*nothing)
+
+
 def ward_labels(
     units: DataFrame,
     timepoints: int,
@@ -120,9 +126,12 @@ def ward_loss(
     """One row: ``clones``, the share of all squares ``lost`` within cells, and the share ``within`` the clusters.
 
     What is within the clusters is what is between the cells of a cluster, which Ward keeps
-    small, and ``lost``.
+    small, and ``lost``. If no clone has a defined correlation, nothing is lost and the
+    other two are null.
     """
     projection = row_projection(units, timepoints, correlation)
+    if projection.clones == 0:
+        return no_loss(units)
     assigned = ward_cells(materialize(place(units, projection)), projection, clusters, cells)
     v = slots("v", projection.width)
 
