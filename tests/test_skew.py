@@ -82,6 +82,19 @@ def test_one_barcode_in_most_rows(spark):
         assert sorted(kept.collect()) == sorted(again.collect())
 
 
+@pytest.mark.parametrize("largest", [3, 100_000])
+def test_a_sample_as_large_as_the_smallest_group_moves_few_rows(spark, monkeypatch, largest):
+    ranked, plain = [], ordering.first_rows
+    monkeypatch.setattr(ordering, "first_rows", lambda keyed, *a: ranked.append(keyed) or plain(keyed, *a))
+    rows = [(k, None if i % 900 == 0 else f"{k}{i}", i) for k, n in (("a", 6000), ("b", 4000), (None, 3000)) for i in range(n)]
+    cells = spark.createDataFrame(rows, "k string, barcode string, v int").repartition(5)
+    got = ordering.take_per_group(cells, ["k"], None, seed=5, largest=largest)
+    order = Window.partitionBy("k").orderBy(ordering.sample_order(5), F.xxhash64(*cells.columns))
+    want = cells.withColumn("p", F.row_number().over(order)).filter("p <= 3000").drop("p")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert sum(keyed.count() for keyed in ranked) < 100
+
+
 def test_cuts_are_read_by_column_and_removed(spark):
     from pathlib import Path
 

@@ -20,6 +20,8 @@ from trajspark.session import materialize
 LARGEST_SAMPLE = 100_000
 #: Parts of a group that are sampled before the group is.
 SAMPLE_SALTS = 32
+#: Hexadecimal digits of a digest by which a large sample is cut.
+PREFIX = 3
 
 
 def ordered_rank(
@@ -77,37 +79,68 @@ def sample_order(seed: int) -> Column:
     return F.md5(F.concat(F.col(BARCODE), F.lit(f"|{seed}")))
 
 
+def first_rows(keyed: DataFrame, size: int, largest: int, limit: Column | None = None) -> DataFrame:
+    """The first ``size`` rows of every ``_group`` by ``_digest`` and ``_row``; of a group with a ``limit``, no more than that.
+
+    Every partition keeps its first rows of a group, these are merged in ``SAMPLE_SALTS`` parts
+    of the group, then the parts. So no task sees more of a group than a few samples. Samples
+    of more than ``largest`` rows come from ranks in range slices instead.
+    """
+    last = F.lit(size) if limit is None else F.least(F.lit(size), limit)
+    order = ["_digest", "_row"]
+    if size > largest:
+        # equal rows are told apart, as the order must be unique
+        numbered = keyed.withColumn("_number", F.monotonically_increasing_id())
+        return ordered_rank(numbered, ["_group"], [*order, "_number"], rank="_place").filter(F.col("_place") <= last)
+    parts = Window.partitionBy("_group", F.pmod("_row", F.lit(SAMPLE_SALTS))).orderBy(*order)
+    whole = Window.partitionBy("_group").orderBy(*order)
+    firsts = keyed.withColumn("_place", F.row_number().over(parts)).filter(F.col("_place") <= size)
+    kept = firsts.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= size)
+    return kept if limit is None else kept.filter(F.col("_place") <= last)
+
+
 def take_per_group(
     df: DataFrame, by: Sequence[str], size: int | None, seed: int, largest: int = LARGEST_SAMPLE
 ) -> DataFrame:
     """Keep ``size`` random rows of every group; all rows of a smaller group.
 
-    ``size=None`` takes as many rows of every group as the smallest group has; the table is
-    then written once, and counted and sampled from there.
+    ``size=None`` takes as many rows of every group as the smallest group has.
 
     The order is the digest of the barcode, then of the whole row, so the same rows come out
-    at any partitioning. A sample is made in one pass: every partition keeps its first rows
-    of a group, these are merged in ``SAMPLE_SALTS`` parts of the group, then the parts. So no
-    task sees more of a group than a few samples. Samples of more than ``largest`` rows
-    come from ranks in range slices instead.
+    at any partitioning. A sample of a given size is made in one pass, see ``first_rows``.
+    For samples as large as the smallest group, or of more than ``largest`` rows, the table
+    is written once with the first ``PREFIX`` digits of the digests. Their counts tell which
+    prefixes of a group are kept whole and which one is cut: only rows of that one are
+    ranked, all others stay where they are.
     """
     require(df, BARCODE, *by)
     # as one struct, null keys are equal to each other
     group = F.struct(*by)
-    if size is None:
-        df = materialize(df)
-        sizes = df.groupBy(group.alias("_group")).agg(F.count(F.lit(1)).alias("n"))
-        size = sizes.agg(F.min("n")).first()[0] or 0
     row = F.xxhash64(*df.columns)
-    keyed = df.withColumns({"_group": group, "_digest": sample_order(seed), "_row": row})
-    if size > largest:
-        # equal rows are told apart, as the order must be unique
-        numbered = keyed.withColumn("_number", F.monotonically_increasing_id())
-        ranked = ordered_rank(numbered, ["_group"], ["_digest", "_row", "_number"], rank="_place")
-        return ranked.filter(F.col("_place") <= size).select(*df.columns)
-    order = ["_digest", "_row"]
-    parts = Window.partitionBy("_group", F.pmod("_row", F.lit(SAMPLE_SALTS))).orderBy(*order)
-    whole = Window.partitionBy("_group").orderBy(*order)
-    firsts = keyed.withColumn("_place", F.row_number().over(parts)).filter(F.col("_place") <= size)
-    kept = firsts.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= size)
-    return kept.select(*df.columns)
+    if size is not None and size <= largest:
+        keyed = df.withColumns({"_group": group, "_digest": sample_order(seed), "_row": row})
+        return first_rows(keyed, size, largest).select(*df.columns)
+
+    # no barcode, no digest: before all others, as nulls are
+    prefix = F.coalesce(F.substring(sample_order(seed), 1, PREFIX), F.lit(""))
+    held = materialize(df.withColumn("_prefix", prefix)).withColumn("_group", group)
+    counts = materialize(held.groupBy("_group", "_prefix").agg(F.count(F.lit(1)).alias("n")))
+    if size is None:
+        size = counts.groupBy("_group").agg(F.sum("n").alias("n")).agg(F.min("n")).first()[0] or 0
+    earlier = Window.partitionBy("_group").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # the one prefix with the first row too many; a group without it is kept whole
+    cuts = materialize(
+        placed.filter((F.col("_before") <= size) & (F.col("_before") + F.col("n") > size)).select(
+            "_group", F.col("_prefix").alias("_cut"), (F.lit(size) - F.col("_before")).alias("_left")
+        )
+    )
+    found = cuts.agg(F.count(F.lit(1)).alias("rows"), F.max("_left").alias("most")).first()
+    marked = lookup_join(held, cuts, ["_group"], "left", rows=found["rows"])
+    whole = marked.filter(F.col("_cut").isNull() | (F.col("_prefix") < F.col("_cut")))
+    if not found["most"]:
+        return whole.select(*df.columns)
+    cut = marked.filter((F.col("_prefix") == F.col("_cut")) & (F.col("_left") > 0))
+    keyed = cut.withColumns({"_digest": sample_order(seed), "_row": row})
+    ranked = first_rows(keyed, found["most"], largest, F.col("_left"))
+    return whole.select(*df.columns).unionByName(ranked.select(*df.columns))
